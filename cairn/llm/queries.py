@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, mixing, quality_rules, secrets, simhash, substrings, tokenshards
+from cairn.llm import embeddings, mixing, pieces, quality_rules, secrets, simhash, substrings, tokenshards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,26 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Per document the three best encodings' scores, the best one's digest and whether it decodes to the text."""
+    model = model or piece_model_path()
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, n_best=3), model)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("ids_score").alias("score"),
+        F.col("ids_n_best.score").alias("n_best_scores"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -56,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substrings": op1_substrings,
         "op2_simhash": op2_simhash,
+        "op3_pieces": op3_pieces,
         "op4_mixing": op4_mixing,
         "op5_token_shards": op5_token_shards,
         "op7_quality_rules": op7_quality_rules,
