@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, mixing, pieces, quality_rules, secrets, simhash, substrings, tokenshards
+from cairn.llm import embeddings, html_text, mixing, pieces, quality_rules, secrets, simhash, substrings, tokenshards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_token_shards": op5_token_shards,
         "op7_quality_rules": op7_quality_rules,
+        "op8_html_text": op8_html_text,
         "op9_embeddings": op9_embeddings,
         "op10_secrets": op10_secrets,
     }

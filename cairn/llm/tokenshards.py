@@ -13,7 +13,8 @@ File layout (little-endian; ``varint`` is LEB128)::
 
 A key is the document id as big-endian unsigned 64-bit with the sign bit flipped (so byte order is
 numeric order; a null id has the empty key and comes first) followed, for repeated ids, by a
-big-endian 32-bit counter.  A value is the ids as little-endian unsigned 32-bit integers.
+big-endian 32-bit counter.  A value is the ids as little-endian unsigned integers and, as its last
+byte, their width: 2 bytes if all ids of the document are below 65,536, else 4.
 
 Documents are range-partitioned by id, sorted, tokenised and written one shard a partition through
 ``pyarrow.fs`` to the shared folder.  A shard is written under an attempt's own name and moved to
@@ -81,6 +82,17 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def pack_ids(ids: bytes) -> bytes:
+    """A value of ids given as little-endian unsigned 32-bit integers."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    return wide.astype("<u2").tobytes() + b"\x02" if not len(wide) or int(wide.max()) < 1 << 16 else ids + b"\x04"
+
+
+def unpack_ids(value: bytes) -> bytes:
+    """The ids of a value as little-endian unsigned 32-bit integers."""
+    return value[:-1] if value[-1] == 4 else np.frombuffer(value[:-1], dtype="<u2").astype("<u4").tobytes()
+
+
 # --- writer --------------------------------------------------------------------------------
 
 
@@ -98,7 +110,8 @@ class ShardWriter:
     def _open(self) -> None:
         self.block, self.restarts, self.entries, self.before = bytearray(), [], 0, b""
 
-    def add(self, key: bytes, value: bytes) -> None:
+    def add(self, key: bytes, ids: bytes) -> None:
+        """Add a document; ``ids`` are little-endian unsigned 32-bit integers."""
         if self.documents and key <= self.last:
             raise ValueError("keys must ascend")
         shared = 0
@@ -106,11 +119,12 @@ class ShardWriter:
             shared = len(os.path.commonprefix([self.before, key]))
         else:
             self.restarts.append(len(self.block))
+        value = pack_ids(ids)
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.entries += 1
         self.before = self.last = key
         self.documents += 1
-        self.ids += len(value) // 4
+        self.ids += len(ids) // 4
         self.hashes.append(xxhash.xxh64_intdigest(key))
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
@@ -187,7 +201,7 @@ class ShardReader:
             n, at = read_varint(block, at)
             key = key[:shared] + block[at : at + rest]
             at += rest
-            yield key, block[at : at + n]
+            yield key, unpack_ids(block[at : at + n])
             at += n
 
     def scan(self) -> Iterator[tuple[bytes, bytes]]:
