@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, html_text, mixing, pieces, quality_rules, secrets, simhash, substrings, tokenshards
+from cairn.llm import cotraining, embeddings, html_text, mixing, pieces, quality_rules, secrets, simhash, substrings, tokenshards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,13 @@ def op5_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return tokenshards.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    found = cotraining.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", F.col("quality_text").alias("p_text"), F.col("quality_meta").alias("p_metadata"), F.col("quality").alias("score"), F.col("quality_kept").alias("kept"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
@@ -83,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pieces": op3_pieces,
         "op4_mixing": op4_mixing,
         "op5_token_shards": op5_token_shards,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,
         "op8_html_text": op8_html_text,
         "op9_embeddings": op9_embeddings,
