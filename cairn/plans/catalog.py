@@ -412,9 +412,7 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_ttl(spark: SparkSession, d: str) -> DataFrame:
     stream = versions.read(spark, f"{d}/events.parque[t]", load(spark, d, "events").schema).where(F.col("ts") <= now())
-    micros = 1_705_276_800_000_000  # NOW
-    rows = versions.complete(versions.live_entries(stream, "user_id", "event_id", exp(), "value", micros), "stream-ttl", "update")
-    return memtable.newest(rows, "k", "seq", v=F.col("v")).select("k", "v")
+    return versions.complete(versions.live_entries(stream, "user_id", "event_id", exp(), "value", now()), "stream-ttl").select("k", "v")
 
 
 @query

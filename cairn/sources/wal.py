@@ -33,7 +33,7 @@ def split_record(record: bytes, offset: int, block: int = BLOCK) -> tuple[list[t
         if room < HEADER:
             padding, left, room = room, 0, block
         n = min(len(record) - at, room - HEADER)
-        first, last = at == 0, at + n == len(record)
+        first, last = not out, at + n == len(record)  # a first fragment may be empty
         kind = FULL if first and last else FIRST if first else LAST if last else MIDDLE
         out.append((padding, kind, record[at : at + n]))
         offset += padding + HEADER + n

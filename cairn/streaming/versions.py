@@ -7,19 +7,12 @@ State is keyed and lives in the state store, so it is partitioned and survives l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cairn.operators import cache
-from cairn.session import fresh_dir, ship
-
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from cairn.session import fresh_dir
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -56,35 +49,12 @@ def expiry_buckets(stream: DataFrame, exp: Column) -> DataFrame:
     return rows.select((F.unix_seconds("w.start") / cache.BUCKET_SECONDS).cast("long").alias("bucket0"), "n").select((F.col("bucket0") + 1).alias("bucket"), "n")
 
 
-class LiveEntries(StatefulProcessor):
-    """Keeps each key's newest version and returns it if it has not expired at ``now`` (micros; event time)."""
-
-    def __init__(self, now: int, ttl: timedelta | None = None):
-        self.now, self.ttl = now, ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        args = (int(self.ttl.total_seconds() * 1000),) if self.ttl else ()
-        self.entry = handle.getValueState("entry", "seq long, exp long, v double", *args)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        best = self.entry.get() if self.entry.exists() else None
-        for part in rows:
-            for seq, exp, v in zip(part["seq"], part["exp"], part["v"], strict=True):
-                if best is None or seq > best[0]:
-                    best = (int(seq), None if pd.isna(exp) else int(exp), None if pd.isna(v) else float(v))
-        self.entry.update(tuple(best))
-        if best[1] is None or best[1] >= self.now:
-            yield pd.DataFrame({"k": [key[0]], "seq": [best[0]], "v": [best[2]]})
+def live_entries(stream: DataFrame, key: str, seq: str, exp: Column, value: str, now: Column) -> DataFrame:
+    """``k, seq, v``: each key's newest version, if it is live at ``now``.
 
-    def close(self) -> None:
-        pass
-
-
-def live_entries(stream: DataFrame, key: str, seq: str, exp: Column, value: str, now: int) -> DataFrame:
-    """``k, seq, v`` for each key that a micro-batch touched and that is live at ``now``; the greatest ``seq`` of a key counts."""
-    spark = stream.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    rows = stream.select(F.col(key).alias("k"), F.col(seq).alias("seq"), F.unix_micros(exp.cast("timestamp")).alias("exp"), F.col(value).cast("double").alias("v"))
-    kind = rows.schema["k"].dataType.simpleString()
-    return rows.groupBy("k").transformWithStateInPandas(LiveEntries(now), f"k {kind}, seq long, v double", "Update", "ProcessingTime")
+    The state is one version a key; expiry is judged on the result, so a late version can still
+    replace an expired one.
+    """
+    kept = F.struct(F.col(seq).alias("seq"), exp.alias("exp"), F.col(value).alias("v"))
+    rows = stream.groupBy(F.col(key).alias("k")).agg(F.max_by(kept, F.col(seq)).alias("m"))
+    return rows.where(cache.is_live(F.col("m.exp"), now)).select("k", "m.seq", "m.v")
