@@ -57,9 +57,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("src", "source_size", "weight", target.alias("target"))
 
 
+def row_hash(key: list[str], text: str) -> Column:
+    """The leading 48 bits of the MD5 of a row's key and text: BITS * LEVELS bits that SQL can compute too."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*key, text)]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
 def _prefix(level: int) -> Column:
     """The leading bits of the hash up to and with ``level`` (from 1)."""
-    return F.shiftrightunsigned("hash", 64 - BITS * level)
+    return F.shiftright("hash", BITS * (LEVELS - level))
 
 
 def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
@@ -111,7 +117,7 @@ def mix(df: DataFrame, key: list[str], source: str = "source", text: str = "text
     whole, below``; small (one row a source) and stored, so a join with it is broadcast by Spark
     if its size allows.
     """
-    slim = df.select(*key, F.col(source).alias("src"), words(text).alias("size"), F.xxhash64(*key, F.col(text)).alias("hash"))
+    slim = df.select(*key, F.col(source).alias("src"), words(text).alias("size"), row_hash(key, text).alias("hash"))
     slim = materialize(slim, "mixing-slim")
     goals = materialize(targets(slim.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, limit), "mixing-goals")
     bounds = thresholds(slim, goals).withColumnRenamed("src", "s")
@@ -119,9 +125,9 @@ def mix(df: DataFrame, key: list[str], source: str = "source", text: str = "text
     return slim, materialize(per_source, "mixing-sources")
 
 
-def times(hash_col: str = "hash") -> Column:
-    """How often a document is taken, given ``hash, whole, below``."""
-    return F.col("whole") + (F.shiftrightunsigned(hash_col, 64 - BITS * LEVELS) < F.col("below")).cast("long")
+def times(hash_col: str = "hash", whole: str = "whole", below: str = "below") -> Column:
+    """How often a document is taken."""
+    return F.col(whole) + (F.col(hash_col) < F.col(below)).cast("long")
 
 
 def taken(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -135,7 +141,7 @@ def sample(df: DataFrame, id_col: str = "doc_id", source: str = "source", text:
     """The mixed rows of ``df``: each as often as it is taken, columns unchanged."""
     _, per_source = mix(df, [id_col], source, text)
     per_source = per_source.select(F.col("src").alias("__cairn_src"), "whole", "below").toDF("__cairn_src", "__cairn_whole", "__cairn_below")
-    rows = df.withColumn("__cairn_hash", F.xxhash64(F.col(id_col), F.col(text)))
+    rows = df.withColumn("__cairn_hash", row_hash([id_col], text))
     rows = rows.join(per_source, F.col(source).eqNullSafe(F.col("__cairn_src")))
-    n = F.col("__cairn_whole") + (F.shiftrightunsigned("__cairn_hash", 64 - BITS * LEVELS) < F.col("__cairn_below")).cast("long")
+    n = times("__cairn_hash", "__cairn_whole", "__cairn_below")
     return rows.withColumn("__cairn_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,12 @@ from cairn.llm.shared import ship
 
 SPACE, LITERAL = "▁", "\ud800"  # a lone surrogate is in no text
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+CACHE = 350_000
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+def _pack(ids: tuple[int, ...]) -> bytes:
+    return array("I", ids).tobytes() if _NATIVE else np.array(ids, dtype="<u4").tobytes()
 
 
 class PieceModel:
@@ -72,7 +79,7 @@ class PieceModel:
         self.unknown = min(scores) - UNKNOWN_PENALTY
         self.feeds = "\n" if not any("\n" in p for p in self.prefixes) else ""
         self.parts = re.compile(rf"{self.feeds}|{SPACE}+[^{SPACE}{self.feeds}]*|[^{SPACE}{self.feeds}]+" if self.feeds else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.caches: dict[int, dict[str, tuple]] = {}
+        self.caches: dict[int, tuple[dict[str, tuple], dict[str, tuple]]] = {}
 
     def lattice(self, part: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
         """Per end: edges ``(begin, ids, score)``; and the forward Viterbi scores."""
@@ -103,56 +110,75 @@ class PieceModel:
         return ends, forward
 
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best paths ``(score, ids)`` of a part, by A-star from the end."""
+        """The ``n`` best paths ``(score, ids)`` of a part, by A-star from the end.
+
+        The queue holds the places where a path leaves the best continuation of another one; each
+        stands for a whole path of exactly its score.  A place that ``n`` others beat is not queued.
+        Of equal scores the one nearest to its path's end goes first.
+        """
         ends, forward = self.lattice(part)
-        # of equal scores the path nearest to its end goes first, else all equal paths would grow at once
         queue: list[tuple[float, int, int, float, tuple | None]] = [(-forward[-1], len(part), 0, 0.0, None)]
         out, tick = [], 0
+        bounds: list[float] = []  # scores of the best places met, worst first
         while queue and len(out) < n:
             _, at, _, behind, tail = heapq.heappop(queue)
-            if not at:
-                ids: list[int] = []
-                while tail is not None:
-                    ids += tail[0]
-                    tail = tail[1]
-                out.append((behind, tuple(ids)))
-                continue
-            for begin, ids_, score in ends[at]:
-                tick += 1
-                total = behind + score
-                heapq.heappush(queue, (-(forward[begin] + total), begin, tick, total, (ids_, tail)))
+            while at:
+                best = None
+                top = float("-inf")
+                for edge in ends[at]:
+                    total = behind + edge[2]
+                    score = forward[edge[0]] + total
+                    if score > top:
+                        edge, best, score, top, total, kept = best, edge, top, score, kept if best else 0.0, total
+                    if edge is not None and (len(bounds) < n or score > bounds[0]):
+                        (heapq.heappush if len(bounds) < n else heapq.heapreplace)(bounds, score)
+                        tick += 1
+                        heapq.heappush(queue, (-score, edge[0], tick, total, (edge[1], tail)))
+                at, behind, tail = best[0], kept, (best[1], tail)
+            ids: list[int] = []
+            while tail is not None:
+                ids += tail[0]
+                tail = tail[1]
+            out.append((behind, tuple(ids)))
         return out
 
-    def _part(self, part: str, n: int, cache: dict[str, tuple]) -> tuple:
-        """``(ids as bytes, score, [(loss, ids as bytes) of the further paths])``."""
+    def _part(self, part: str, n: int) -> tuple:
+        """``(ids as bytes, score, loss and ids of the second path, of the third, ...)``: one flat tuple."""
         paths = self.n_best(part, n)
-        packed = [np.array(ids, dtype="<u4").tobytes() for _, ids in paths]
         best = paths[0][0]
-        if len(cache) >= CACHE:
-            cache.clear()
-        found = (packed[0], best, [(best - score, ids) for (score, _), ids in zip(paths[1:], packed[1:], strict=True)])
-        cache[part] = found
-        return found
+        out: list = [_pack(paths[0][1]), best]
+        for score, ids in paths[1:]:
+            out += (best - score, _pack(ids))
+        return tuple(out)
+
+    def _found(self, parts: list[str], n: int) -> list[tuple]:
+        """Parts' best paths, from two generations of a cache: what is used again moves to the young one."""
+        young, old = self.caches.setdefault(n, ({}, {}))
+        out = [young.get(part) for part in parts]
+        if None in out:
+            if len(young) + len(parts) > CACHE:
+                old, young = young, {}
+                self.caches[n] = (young, old)
+            for i, x in enumerate(out):
+                if x is None:
+                    part = parts[i]
+                    out[i] = young[part] = young.get(part) or old.get(part) or self._part(part, n)
+        return out
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The ``n`` best encodings ``(score, ids as little-endian u32)`` of a text, best first."""
         if not text:
             return [(0.0, b"")]
-        cache = self.caches.setdefault(n, {})
-        parts = self.parts.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
-        found = []
-        for part in parts:
-            x = cache.get(part)
-            found.append(x if x is not None else self._part(part, n, cache))
+        found = self._found(self.parts.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)), n)
         ids = [x[0] for x in found]
         score = sum(x[1] for x in found)
         out = [(score, b"".join(ids))]
         if n > 1:
             # a path beyond the n best changes a part whose change costs more than n - 1 others do
-            costs = heapq.nsmallest(n - 1, ((x[2][0][0], i) for i, x in enumerate(found) if x[2]))
+            costs = heapq.nsmallest(n - 1, [(x[2], i) for i, x in enumerate(found) if len(x) > 2])
             best: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
             for _, i in costs:
-                options = [(loss, ((i, new),)) for loss, new in found[i][2]]
+                options = [(found[i][k], ((i, found[i][k + 1]),)) for k in range(2, len(found[i]), 2)]
                 best = heapq.nsmallest(n, [*best, *((a + loss, change + new) for a, change in best for loss, new in options)], key=lambda x: x[0])
             for loss, change in best[1:]:
                 other = list(ids)

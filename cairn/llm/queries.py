@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import cotraining, embeddings, html_text, mixing, pieces, quality_rules, secrets, simhash, substrings, tokenshards
+from cairn.llm import cotraining, embeddings, html_text, mixing, oracles, pieces, quality_rules, secrets, simhash, substrings, tokenshards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +32,14 @@ def piece_model_path() -> str:
 def op3_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Per document the three best encodings' scores, the best one's digest and whether it decodes to the text."""
     model = model or piece_model_path()
-    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, n_best=3), model)
-    return found.select(
+    found = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, n_best=3)
+    found = found.select("doc_id", "text", "ids", "ids_score", F.col("ids_n_best.score").alias("n_best_scores"))
+    return pieces.decode(found, model).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),
         F.col("ids_score").alias("score"),
-        F.col("ids_n_best.score").alias("n_best_scores"),
+        "n_best_scores",
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
 
@@ -99,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

@@ -19,8 +19,15 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 
+#: Rows that go to Python at once: texts are long, and a batch is in memory on both sides.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, whatever their Python path is."""
+    """Give the executors this package, once per application, whatever their Python path is; keep batches small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -17,8 +17,8 @@ suffixes of equal beginnings:
    at its first place, whatever the number of copies.
 4. The different contexts of an anchor are put into one text, in the order of their places, and
    its LPF arrays are made.  An anchor with more than ``BUCKET`` different contexts is not put into
-   one text: its strings are dealt by their own 128-bit hashes and counted with map-side combining,
-   which gives the same answer without a large group.
+   one text: its strings are dealt by their own 128-bit hashes, in stretches first, and counted
+   with map-side combining, which gives the same answer without a large group.
 
 Hashes that select candidates and identify contexts have 64 + 64 bits of different polynomials.
 
@@ -43,6 +43,7 @@ GRAM = 64
 BUCKET = 256
 TEXT_BYTES = 1 << 18
 CHUNK = 1 << 19
+STEP = 16
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _MASK = (1 << 64) - 1
@@ -220,7 +221,6 @@ def text_matches(texts: list[bytes], floor: int, depth: int | None = None) -> li
 # --- DataFrame operator --------------------------------------------------------------------
 
 _ROW, _TEXT = "__cairn_row", "__cairn_text"
-_HOT_SCHEMA = "w1 long, w2 long, h long, c long, first boolean, place long, at int"
 
 
 def _anchor_rows(texts: DataFrame, min_len: int) -> DataFrame:
@@ -308,31 +308,101 @@ def _bucket_matches(contexts: DataFrame, min_len: int, keep: str) -> DataFrame:
     return contexts.repartition(n, "h").sortWithinPartitions("h").select("h", "c", "row", "start", "copies", "bytes").mapInArrow(run, "h long, c long, lo int, hi int, first boolean")
 
 
+def _stretches(values: np.ndarray, h: int, min_len: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """A context's strings in stretches of STEP by their distance to the anchor.
+
+    Per stretch: number, first and last string, anchor, and begin and end of the core, the bytes
+    that all strings of a whole stretch share.  Equal strings are in stretches of one number.
+    """
+    n = len(values) - min_len + 1
+    with np.errstate(over="ignore"):
+        place = int(np.flatnonzero(Hashes(values, _BASES[0]).windows(GRAM).view(np.int64) == h)[0])
+    for b in range((place - n + 1) // STEP if place >= n else 0, place // STEP + 1):
+        lo, hi = max(0, place - STEP * b - STEP + 1), min(n - 1, place - STEP * b)
+        if lo <= hi:
+            yield b, lo, hi, place, place - STEP * b, place - STEP * b - STEP + 1 + min_len
+
+
+def _two_hashes(values: np.ndarray, start: list[int], end: list[int], salt: list[int]) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        extra = _mix(np.array(salt, dtype=np.int64).view(np.uint64) + np.uint64(1))
+        return [(Hashes(values, base).of(np.array(start), np.array(end)) ^ extra).view(np.int64) for base in _BASES]
+
+
 def _hot_matches(contexts: DataFrame, min_len: int, keep: str) -> DataFrame:
-    """The same for anchors with many different contexts, by the strings' own hashes."""
+    """The same for anchors with many different contexts, by 128-bit hashes counted with map-side combining.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    First whole stretches of strings and their cores are counted.  A stretch that occurs elsewhere
+    is a match of all its strings; one whose core occurs only once has none.  Only the strings of the
+    others are counted one by one, together with those of each repeated stretch's first place.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for h, c, row, start, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                values = np.frombuffer(data, dtype=np.uint8)
+                parts = list(_stretches(values, h, min_len))
+                starts = [x for _, lo, _, _, core, _ in parts for x in (lo, core)]
+                ends = [x for _, _, hi, _, _, end in parts for x in (hi + min_len, end)]
+                salts = [x for b, lo, hi, place, _, _ in parts for x in ((b << 20) + ((place - lo) << 10) + (place - hi), -1 - b)]
+                for column, found in zip(out, _two_hashes(values, starts, ends, salts), strict=False):
+                    column += found.tolist()
+                n = len(starts)
+                out[2] += [h] * n
+                out[3] += [c] * n
+                out[4] += [row] * n
+                out[5] += [start + x[1] for x in parts for _ in range(2)]
+                out[6] += [2 * x[0] + k for x in parts for k in range(2)]
+            kinds = [pa.int64()] * 6 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["w1", "w2", "h", "c", "row", "place", "code"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c, row, start, _, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for h, c, row, start, data, codes, later in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 values = np.frombuffer(data, dtype=np.uint8)
+                open_ = [np.arange(lo, hi + 1) for b, lo, hi, _, _, _ in _stretches(values, h, min_len) if 2 * b + 1 in codes and 2 * b not in later]
+                if not open_:
+                    continue
+                at = np.concatenate(open_)
                 with np.errstate(over="ignore"):
-                    w1, w2 = (Hashes(values, b).windows(min_len).view(np.int64) for b in _BASES)
-                n = len(w1)
-                at = np.arange(n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.full(n, row)), pa.array(start + at.astype(np.int64)), pa.array(at)], names=["w1", "w2", "h", "c", "row", "place", "at"])
-
-    strings = contexts.select("h", "c", "row", "start", "copies", "bytes").mapInArrow(run, "w1 long, w2 long, h long, c long, row long, place long, at int")
-    place = F.struct("row", "place")
-    found = materialize(strings.groupBy("w1", "w2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1"), "substrings-hot")
-    hits = strings.join(found, ["w1", "w2"])
+                    w1, w2 = (Hashes(values, b).of(at, at + min_len).view(np.int64) for b in _BASES)
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.full(n, row)), pa.array(start + at), pa.array(at.astype(np.int32))], names=["w1", "w2", "h", "c", "row", "place", "at"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, c, n, codes, later, data, singles in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                gone = np.zeros(n, dtype=bool)
+                whole_ = later if keep == "first" else codes
+                for b, lo, hi, _, _, _ in _stretches(np.frombuffer(data, dtype=np.uint8), h, min_len):
+                    if 2 * b in whole_:
+                        gone[lo : hi + 1] = True
+                gone[np.array(singles or [], dtype=np.int64)] = True
+                out += [(h, c, lo, hi, True) for lo, hi in _runs(gone)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "c", "lo", "hi", "first"])
+
+    def repeated(rows: DataFrame, label: str) -> DataFrame:
+        counts = rows.groupBy("w1", "w2").agg(F.min(F.struct("row", "place")).alias("origin"), F.count("*").alias("n"))
+        return materialize(counts.where("n > 1").select("w1", "w2", "origin"), label)
+
+    elsewhere = F.struct("row", "place") != F.col("origin")
+    stretches = contexts.select("h", "c", "row", "start", "bytes").mapInArrow(whole, "w1 long, w2 long, h long, c long, row long, place long, code int")
+    hits = stretches.join(repeated(stretches, "substrings-stretches"), ["w1", "w2"]).groupBy("h", "c")
+    hits = hits.agg(F.collect_list("code").alias("codes"), F.collect_list(F.when(elsewhere, F.col("code"))).alias("later"))  # a few per context
+    marked = materialize(contexts.join(hits, ["h", "c"]), "substrings-marked")
+    strings = marked.select("h", "c", "row", "start", "bytes", "codes", "later").mapInArrow(single, "w1 long, w2 long, h long, c long, row long, place long, at int")
+    found = strings.join(repeated(strings, "substrings-strings"), ["w1", "w2"])
     if keep == "first":
-        hits = hits.where(place != F.col("origin"))
-    flags = hits.groupBy("h", "c").agg(F.collect_list("at").alias("at"))  # at most one per string of the context
-    rows = flags.select("h", "c", F.explode("at").alias("lo"), (F.lit(True)).alias("first"))
-    rows = rows.select("h", "c", "lo", (F.col("lo") + 1).alias("hi"), "first")
+        found = found.where(elsewhere)
+    singles = found.groupBy("h", "c").agg(F.collect_list("at").alias("singles"))  # at most one per string of the context
+    n = (F.octet_length("bytes") - min_len + 1).cast("int")
+    rows = marked.join(singles, ["h", "c"], "left").select("h", "c", n.alias("n"), "codes", "later", "bytes", "singles").mapInArrow(runs, "h long, c long, lo int, hi int, first boolean")
     if keep == "first":
-        n = F.octet_length("bytes") - min_len + 1
-        rows = rows.union(contexts.where("copies > 1").select("h", "c", F.lit(0).alias("lo"), n.cast("int").alias("hi"), F.lit(False).alias("first")))
+        rows = rows.union(contexts.where("copies > 1").select("h", "c", F.lit(0).alias("lo"), n.alias("hi"), F.lit(False).alias("first")))
     return rows
 
 
