@@ -95,7 +95,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 120) -> tuple[np.ndarray, float]:
     """Weighted ridge-logistic regression by accelerated gradient steps; classes weigh alike."""
     weight = weight * np.where(y > 0.5, 0.5 / max(1e-9, weight[y > 0.5].sum()), 0.5 / max(1e-9, weight[y <= 0.5].sum()))
-    bound = float((weight @ (x * x)).sum()) + 1.0  # of the features' second moment
+    bound = float(np.einsum("i,ij,ij->", weight, x, x)) + 1.0  # of the features' second moment
     rate = 1 / (0.25 * bound + ridge)
     w = np.zeros(x.shape[1], dtype=np.float32)
     b, v, vb = 0.0, w.copy(), 0.0
@@ -223,10 +223,14 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def _collect(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, m, y = np.zeros((0, SIZE + DENSE), dtype=np.float32), np.zeros((0, META), dtype=np.float32), []
     rows = _features(df.limit(most)).toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), dtype=np.float32).reshape(-1, SIZE + DENSE)
-    m = np.frombuffer(b"".join(rows["m"].to_pylist()), dtype=np.float32).reshape(-1, META)
-    return x, m, np.array(rows["y"].to_pylist(), dtype=np.float32)
+    if rows.num_rows:  # one copy of the packed rows, not one per row and step
+        x, m = np.empty((rows.num_rows, SIZE + DENSE), dtype=np.float32), np.empty((rows.num_rows, META), dtype=np.float32)
+        for i, (a, b) in enumerate(zip(rows["x"], rows["m"], strict=True)):
+            x[i], m[i] = np.frombuffer(a.as_buffer(), dtype=np.float32), np.frombuffer(b.as_buffer(), dtype=np.float32)
+        y = rows["y"].to_pylist()
+    return x, m, np.array(y, dtype=np.float32)
 
 
 def _inputs(df: DataFrame, text: str, source: str, lang: str, n_chars: str) -> list:

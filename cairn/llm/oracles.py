@@ -58,3 +58,48 @@ FROM embeddings e JOIN comp c ON c.a = e.vec_id LEFT JOIN links l ON l.a = e.vec
 """
 
 ORACLES: dict[str, str] = {"op4_mixing": MIXING, "op9_embeddings": EMBEDDINGS}
+
+WORD = r"[^\x20\x09-\x0D]+"
+#: Windows of 2 to 10 words as joined strings; words hold no spaces, so equal strings are equal windows.
+RULES = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents
+), base AS (
+  SELECT r, doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols FROM docs
+), lines AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs
+), repeats AS (
+  SELECT r, line FROM lines WHERE regexp_matches(line, '{WORD}') QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1
+), dup_lines AS (
+  SELECT r, count(*) AS n_dup_lines, sum(list_sum(list_transform(regexp_extract_all(line, '{WORD}'), lambda x: length(x)))) AS dup_chars FROM repeats GROUP BY r
+), windows AS (
+  SELECT r, n, i, array_to_string(list_slice(words, i, i + n - 1), ' ') AS g FROM docs, range(2, 11) t(n), unnest(range(1, len(words) - n + 2)) u(i)
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY r, n, g) AS c, row_number() OVER (PARTITION BY r, n, g ORDER BY i) AS nth FROM windows QUALIFY c > 1
+), repeat_words AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM counted, unnest(range(i, i + 3)) u(p) WHERE n = 3 GROUP BY r
+), most AS (
+  SELECT r, n, max(c) AS c FROM counted WHERE n < 5 GROUP BY r, n
+), top AS (
+  SELECT m.r, m.n, least(1.0::DOUBLE, (m.c * max(length(x.g) - (m.n - 1)))::DOUBLE / any_value(b.word_chars)) AS share
+  FROM most m JOIN counted x USING (r, n, c) JOIN base b USING (r) GROUP BY m.r, m.n, m.c
+), inside AS (
+  SELECT DISTINCT r, n, p FROM counted, unnest(range(i, i + n)) u(p) WHERE n > 4 AND nth > 1
+), dup AS (
+  SELECT r, n, sum(length(d.words[p]))::DOUBLE / any_value(b.word_chars) AS share FROM inside JOIN docs d USING (r) JOIN base b USING (r) GROUP BY r, n
+), limits AS (
+  SELECT * FROM (VALUES (2, 0.20::DOUBLE), (3, 0.18), (4, 0.16), (5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10)) l(n, most)
+), verdicts AS (
+  SELECT r, max(CASE WHEN n < 5 THEN share END) AS top_share, max(CASE WHEN n > 4 THEN share END) AS dup_share, bool_or(share > most) AS bad
+  FROM (SELECT * FROM top UNION ALL SELECT * FROM dup) JOIN limits USING (n) GROUP BY r
+), joined AS (
+  SELECT b.*, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(w.n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(v.top_share, 0.0::DOUBLE) AS top_share, coalesce(v.dup_share, 0.0::DOUBLE) AS dup_share,
+         CASE WHEN word_chars > 0 THEN coalesce(l.dup_chars, 0)::DOUBLE / word_chars ELSE 0 END AS line_share, coalesce(l.dup_chars, 0) AS dup_chars, coalesce(v.bad, false) AS bad
+  FROM base b LEFT JOIN dup_lines l USING (r) LEFT JOIN repeat_words w USING (r) LEFT JOIN verdicts v USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, top_share, dup_share, line_share,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT bad AND NOT dup_chars > 0.20::DOUBLE * word_chars AS kept
+FROM joined
+"""
+
+ORACLES["op7_quality_rules"] = RULES

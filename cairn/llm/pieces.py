@@ -37,7 +37,7 @@ from cairn.llm.shared import ship
 
 SPACE, LITERAL = "▁", "\ud800"  # a lone surrogate is in no text
 UNKNOWN_PENALTY = 10.0
-CACHE = 350_000
+CACHE = 200_000
 _NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -222,6 +222,7 @@ def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out:
                 score = pa.array([0.0 if x is None else x[0][0] for x in found], pa.float64())
                 every = pa.array([None if x is None else [{"score": s, "ids": i} for s, i in x] for x in found], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, score, every], names=[*part.schema.names, *names])
+        coder.caches.clear()  # the worker stays, and other stages need its memory
 
     return source.mapInArrow(run, T.StructType([*source.schema, *extra]))
 

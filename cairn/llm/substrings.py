@@ -391,10 +391,12 @@ def _hot_matches(contexts: DataFrame, min_len: int, keep: str) -> DataFrame:
 
     elsewhere = F.struct("row", "place") != F.col("origin")
     stretches = contexts.select("h", "c", "row", "start", "bytes").mapInArrow(whole, "w1 long, w2 long, h long, c long, row long, place long, code int")
+    stretches = materialize(stretches, "substrings-stretches")  # read twice
     hits = stretches.join(repeated(stretches, "substrings-stretches"), ["w1", "w2"]).groupBy("h", "c")
     hits = hits.agg(F.collect_list("code").alias("codes"), F.collect_list(F.when(elsewhere, F.col("code"))).alias("later"))  # a few per context
     marked = materialize(contexts.join(hits, ["h", "c"]), "substrings-marked")
     strings = marked.select("h", "c", "row", "start", "bytes", "codes", "later").mapInArrow(single, "w1 long, w2 long, h long, c long, row long, place long, at int")
+    strings = materialize(strings, "substrings-strings")
     found = strings.join(repeated(strings, "substrings-strings"), ["w1", "w2"])
     if keep == "first":
         found = found.where(elsewhere)
