@@ -28,8 +28,9 @@ def get(df: DataFrame, key: str, target: object, value: str) -> DataFrame:
 
 
 def probes(df: DataFrame, targets: Sequence[object], name: str = "k") -> DataFrame:
-    """A table of probe keys."""
-    return df.sparkSession.createDataFrame([(t,) for t in targets], f"{name} string" if any(isinstance(t, str) for t in targets) else f"{name} long")
+    """A table of probe keys, made inside the JVM."""
+    kind = "string" if any(isinstance(t, str) for t in targets) else "long"
+    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, targets)).cast(f"array<{kind}>")).alias(name))
 
 
 def multi_get(df: DataFrame, key: str, wanted: DataFrame | Sequence[object], value: str) -> DataFrame:

@@ -42,10 +42,6 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp_ntz")
 
 
-def small(spark: SparkSession, values: list, kind: str = "string", name: str = "k") -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-
-
 # --- ordered reads -------------------------------------------------------------------------
 
 SEEKS = ["Customer#000000041x", "", "Customer#000000042", "zzz"]
@@ -284,7 +280,7 @@ def shard_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query
 def key_hash_int(spark: SparkSession, d: str) -> DataFrame:
     key, _ = codec.key_hash(F.col("k"), integral=True)
-    return small(spark, [-1, 0, 1, -128, 127], "long").select("k", codec.unsigned64(key).alias("h"))
+    return ordered.probes(spark.range(0), [-1, 0, 1, -128, 127]).select("k", codec.unsigned64(key).alias("h"))
 
 
 @query
