@@ -37,7 +37,8 @@ from cairn.llm.shared import ship
 
 SPACE, LITERAL = "▁", "\ud800"  # a lone surrogate is in no text
 UNKNOWN_PENALTY = 10.0
-CACHE = 200_000
+#: Parts kept per generation of a worker's cache.
+CACHE = 300_000
 _NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -79,6 +80,7 @@ class PieceModel:
         self.unknown = min(scores) - UNKNOWN_PENALTY
         self.feeds = "\n" if not any("\n" in p for p in self.prefixes) else ""
         self.parts = re.compile(rf"{self.feeds}|{SPACE}+[^{SPACE}{self.feeds}]*|[^{SPACE}{self.feeds}]+" if self.feeds else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.limit = CACHE
         self.caches: dict[int, tuple[dict[str, tuple], dict[str, tuple]]] = {}
 
     def lattice(self, part: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
@@ -156,7 +158,7 @@ class PieceModel:
         young, old = self.caches.setdefault(n, ({}, {}))
         out = [young.get(part) for part in parts]
         if None in out:
-            if len(young) + len(parts) > CACHE:
+            if len(young) + len(parts) > self.limit:
                 old, young = young, {}
                 self.caches[n] = (young, old)
             for i, x in enumerate(out):
@@ -202,8 +204,10 @@ def load(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out: str = "ids") -> DataFrame:
-    """``df`` with ``out`` (binary, ids as little-endian u32), ``<out>_score`` and ``<out>_n_best`` (array of score and ids, best first)."""
+def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out: str = "ids", cache: int = CACHE, release: bool = False) -> DataFrame:
+    """``cache`` and ``release`` (empty the cache after each task) trade memory of the workers for time.
+
+    Returns ``df`` with ``out`` (binary, ids as little-endian u32), ``<out>_score`` and ``<out>_n_best`` (array of score and ids, best first)."""
     ship(df.sparkSession)
     best = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.BinaryType())]))
     extra = [T.StructField(out, T.BinaryType()), T.StructField(f"{out}_score", T.DoubleType()), T.StructField(f"{out}_n_best", best)]
@@ -214,6 +218,7 @@ def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model)
+        coder.limit = cache
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -222,7 +227,8 @@ def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out:
                 score = pa.array([0.0 if x is None else x[0][0] for x in found], pa.float64())
                 every = pa.array([None if x is None else [{"score": s, "ids": i} for s, i in x] for x in found], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, score, every], names=[*part.schema.names, *names])
-        coder.caches.clear()  # the worker stays, and other stages need its memory
+        if release:
+            coder.caches.clear()  # the worker stays, and other stages need its memory
 
     return source.mapInArrow(run, T.StructType([*source.schema, *extra]))
 
