@@ -11,6 +11,13 @@ Defined results.  Null or empty text: no word, fingerprint zero, linked like any
 rows share a fingerprint and a component.  Null ids: a row keeps its fingerprint; the component id
 is the least non-null id, null if there is none.  Empty table: empty result.  Columns of any other
 name are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.
+
+:func:`keep_one_similar` links by the exact Jaccard similarity of shingle sets instead, which 64 bits
+cannot tell: at 0.8 fingerprints differ in about ten bits.  Its candidates share one of ``BANDS``
+keys of ``BAND_ROWS`` least hashes (a pair at 0.8 shares none with probability 0.0004), and each is
+verified on the complete sets.  All pairs of a key with at most ``ALL_PAIRS`` different sets are
+candidates; of larger keys each set meets the least, the greatest and a random one, so no group
+makes a square of pairs.
 """
 
 from __future__ import annotations
@@ -26,19 +33,28 @@ from pyspark.sql import functions as F
 from cairn.llm.shared import components, materialize, ship, with_row_id
 
 SEGMENTS, SEGMENT_BITS = 4, 16
+BANDS, BAND_ROWS, ALL_PAIRS = 20, 5, 8
+_FACTORS = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 7) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles, with repeats; a text of fewer words is one shingle."""
     words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) <= shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, 42) for x in parts], dtype="<u8")
+    return np.array([digest(x, 42) for x in parts], dtype="<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The unsigned fingerprint of one text."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -112,3 +128,91 @@ def keep_one(df: DataFrame, text: str = "text", shingle: int = 5, distance: int
     marked = materialize(fingerprints(with_row_id(df.select(text), row), text, [row], shingle), "simhash-marked")
     firsts = classes(marked, row, distance).groupBy("component").agg(F.lit(1).alias("n")).select(F.col("component").alias(row))
     return with_row_id(df, row).join(firsts, row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+# --- exact similarity of shingle sets ------------------------------------------------------
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key (signed) per band of a shingle set; equal for two sets with the probability that BAND_ROWS least hashes agree."""
+    if not len(hashes):
+        return []
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        low = np.minimum(low, (hashes[at : at + (1 << 12), None] * _FACTORS).min(axis=0))
+    data, step = low.astype("<u8").tobytes(), 8 * BAND_ROWS
+    keys = [xxhash.xxh64_intdigest(data[i * step : (i + 1) * step], i) for i in range(BANDS)]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+
+
+def _marks(rows: DataFrame, row: str, text: str, shingle: int) -> DataFrame:
+    """``row, node, keys``: the hash of the row's shingle set and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            nodes = np.array([_node(x) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["row", "node", "keys"])
+
+    return rows.select(F.col(row), F.col(text).cast("binary")).mapInArrow(run, "row long, node long, keys array<long>")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``node, keys`` that share a key; of keys with many nodes, pairs with three of them."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    drawn = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), drawn.alias("c")).where("n > 1")
+    buckets = materialize(buckets, "simhash-buckets")
+    two = buckets.where("n = 2").select("a", "b")
+    few = keyed.join(buckets.where((F.col("n") > 2) & (F.col("n") <= ALL_PAIRS)).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("all"))
+    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
+    many = keyed.join(buckets.where(F.col("n") > ALL_PAIRS).select("key", F.array("a", "b", "c").alias("met")), "key")
+    many = many.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"))  # bounded: three a band
+    many = many.select("node", F.explode("met").alias("other")).where("node != other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    return two.union(few).union(many).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` whose sets have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
+                small, large = sorted((len(x), len(y)))
+                both = 0 if small < least * large - 1e-9 else len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (small + large - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _sets(rows: DataFrame, text: str, shingle: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    return rows.select("node", F.col(text).cast("binary")).mapInArrow(run, "node long, hashes binary")
+
+
+def keep_one_similar(df: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``df`` with one row, the one stored first, of each group linked by Jaccard similarities of at least ``least``."""
+    ship(df.sparkSession)
+    row = "__cairn_row"
+    numbered = with_row_id(df.select(text), row)
+    marked = _marks(numbered, row, text, shingle)
+    nodes = materialize(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys")), "simhash-sets")
+    pairs = materialize(candidates(nodes), "simhash-candidates")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row"), "node")
+    texts = numbered.withColumnRenamed(row, "row").join(materialize(asked, "simhash-asked"), "row")
+    sets = materialize(_sets(texts, text, shingle), "simhash-hashes")
+    roots = components(_similar(pairs, sets, least), "a", "b", "simhash").toDF("node", "root")
+    firsts = nodes.select("node", "row").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias(row)).select(row)
+    return with_row_id(df, row).join(materialize(firsts, "simhash-firsts"), row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

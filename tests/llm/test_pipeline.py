@@ -31,6 +31,19 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sorted(map(repr, kept)) == sorted(repr(rows[i]) for i in {*least.values()})
 
 
+def test_near_duplicates_find_copies_at_similarity_0_8(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 9999)}" for _ in range(204)]
+    near, far = list(words), list(words)
+    for at in (20, 60, 100, 140):  # 180 of 220 shingles
+        near[at] = "new"
+    for at in (20, 60, 100, 140, 180):  # 175 of 225
+        far[at] = "other"
+    rows = [(i, " ".join(t), "en", "src0", 0) for i, t in enumerate((words, near, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    assert [r["doc_id"] for r in C.near_duplicates(spark, docs, SF).collect()] == [0, 2]
+
+
 def test_secrets_and_mixing(spark):
     rows, docs = small(spark)
     clean = C.without_secrets(spark, docs, SF)

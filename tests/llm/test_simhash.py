@@ -82,3 +82,52 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1001 + i) for i in range(0, 40, 2)] + [(5, 5)] + [(2000, 2000 + i) for i in range(1, 200)]
     got = {r["node"]: r["root"] for r in cc(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 + i // 2 * 2 for i in range(40)) and all(got[2000 + i] == 2000 for i in range(200))
+
+
+def shingle_set(text, n=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def similar_groups(texts, least=0.8):
+    """Rows kept by plain search over all pairs, and the number of linked pairs of different sets."""
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= least:
+                links += sets[i] != sets[j]
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i for i in range(len(texts)) if top(i) == i}, links
+
+
+def test_keep_one_similar_finds_every_pair_of_the_least_similarity(spark):
+    rng = random.Random(5)
+    word = lambda: "w%d" % rng.randint(0, 5000)
+    passage = [word() for _ in range(90)]  # stands in many texts that are not similar enough
+    texts = [None, "", "One two", "one TWO", "one two three"]
+    for i in range(60):
+        base = [*passage, *(word() for _ in range(40))] if i % 3 == 0 else [word() for _ in range(rng.randint(30, 200))]
+        texts.append(" ".join(base))
+        for changes in rng.sample(range(1, 8), 2):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    want, links = similar_groups(texts)
+    assert links > 30 and len(want) > 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in S.keep_one_similar(df).collect()} == want
+    assert S.keep_one_similar(df.limit(0)).collect() == []
