@@ -8,9 +8,10 @@ the run in the original text that held it; for escape layers, which keep positio
 characters.
 
 Defined results.  Null or empty text: no finding.  Repeated rows: equal results.  Empty table:
-empty result.  Other columns are kept by :func:`redact` and not read by :func:`scan`.  An
-inflated layer may have at most ``INFLATE_LIMIT`` bytes for each byte of its run plus a constant;
-what lies beyond is a decompression bomb and is not read.
+empty result.  Other columns are kept by :func:`redact` and not read by :func:`scan`.  Inflated
+data of any size are read to their end, all members of them, in windows of ``WINDOW`` bytes that
+overlap by half, so a decompression bomb takes time but no memory.  Only a secret or run of over
+half a window may be read in parts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from cairn.llm.shared import ship
 
 KINDS = ("assign", "access", "hex")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
-INFLATE_LIMIT, INFLATE_BASE = 1000, 1 << 20
+WINDOW, CHUNK = 1 << 24, 1 << 20
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _assign_hint = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.IGNORECASE | re.ASCII)
@@ -43,7 +44,13 @@ _hex = re.compile(r"[0-9a-f]{32,}")  # a shorter maximal run fails, a longer one
 _url = re.compile(r"%[0-9A-Fa-f]{2}")
 _url_run = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _unicode = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}")
-_base64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_base64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+_break = r"(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*"
+_wrapped = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+{_break}[A-Za-z0-9+/_-]{{4,}}=*(?:{_break}[A-Za-z0-9+/_-]+=*)*")
+_line = re.compile(rf"([A-Za-z0-9+/_-]+=*)(?:{_break})?")
+_byte_escape = re.compile(r"""\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|u\{0*[0-9A-Fa-f]{1,2}\}|U000000[0-9A-Fa-f]{2}|[0nrtabfv'"\\])""")
+_simple = {"0": "\0", "n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+_packed = re.compile(r"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 
 class Finding(NamedTuple):
@@ -75,29 +82,85 @@ def _printable(data: bytes) -> str | None:
     return text if text and 10 * bad <= len(text) else None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """The content of gzip, zlib, bzip2, xz or Zstandard data, known by its first bytes."""
-    limit = INFLATE_LIMIT * len(data) + INFLATE_BASE
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, limit)
-        if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, limit)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, limit)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, limit)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-                return stream.read(limit)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, Exception) as error:  # noqa: BLE001
-        if isinstance(error, ImportError | MemoryError):
-            raise
+def _reader(data: bytes | memoryview):
+    """A new decompressor for data of that beginning; none if they are not compressed."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj(write_size=CHUNK)
     return None
 
 
+def _chunks(data: bytes | memoryview, used: list[int]) -> Iterator[bytes]:
+    """The content of gzip, zlib, bzip2, xz or Zstandard data in chunks, all members; ``used[0]`` is how far they reach."""
+    total, at = len(data), 0
+    while (reader := _reader(data[at:])) is not None:
+        fed = total
+        try:
+            if isinstance(reader, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+                part = reader.decompress(data[at:], CHUNK)
+                while part:
+                    yield part
+                    part = b"" if reader.eof or reader.needs_input else reader.decompress(b"", CHUNK)
+            elif hasattr(reader, "unconsumed_tail"):
+                part = reader.decompress(data[at:], CHUNK)
+                while part:
+                    yield part
+                    part = b"" if reader.eof else reader.decompress(reader.unconsumed_tail, CHUNK)
+            else:  # no limit of output a call: little input at a time
+                fed = at
+                while fed < total and not reader.eof:
+                    step, fed = fed, min(total, fed + (1 << 10))
+                    yield reader.decompress(data[step:fed])
+        except (MemoryError, ImportError):
+            raise
+        except Exception:  # noqa: BLE001
+            used[0] = max(used[0], total if at == 0 else at)
+            return
+        at = used[0] = fed - len(reader.unused_data)
+        if not reader.eof:
+            return
+
+
+def _inflated(data: bytes | memoryview, used: list[int]) -> Iterator[bytes]:
+    """The content in windows that overlap by half; one window if it is small."""
+    held = bytearray()
+    more = False
+    for chunk in _chunks(data, used):
+        held += chunk
+        while len(held) > WINDOW:
+            yield bytes(held[:WINDOW])
+            del held[: WINDOW // 2]
+            more = True
+    if held and not (more and len(held) <= WINDOW // 2):
+        yield bytes(held)
+
+
+def _unpacked(data: bytes | memoryview, used: list[int], seen: set[bytes]) -> Iterator[str]:
+    """Texts of compressed data, packed again and again or not; bytes that are no UTF-8 are read as they are."""
+    for part in _inflated(data, used):
+        key = hashlib.blake2b(part, digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        if _reader(part) is not None:
+            yield from _unpacked(part, [0], seen)
+        if not part.strip(b"\0"):
+            continue
+        try:
+            yield part.decode("utf-8")
+        except UnicodeDecodeError:
+            yield part.decode("utf-8", "ignore") if len(part) == WINDOW else part.decode("latin-1")
+
+
 def _splice(text: str, places: list[int] | None, cuts: list[tuple[int, int, str]]) -> tuple[str, np.ndarray]:
     """``text`` with runs replaced, and for each character (and the end) where it began in the source."""
     parts, at, where = [], 0, []
@@ -134,9 +197,67 @@ def _unicode_layer(text: str) -> tuple[str, np.ndarray] | None:
     return joined, where
 
 
+def _embedded(text: str) -> Iterator[tuple[int, int, str]]:
+    """Compressed bytes written with URL or byte escapes, and the span of each."""
+    ways = []
+    if "%" in text and _url.search(text):
+        ways.append([(m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode("latin-1")) for m in _url_run.finditer(text)])
+        if "+" in text:  # a space of form data
+            ways.append(sorted(ways[0] + [(m.start(), m.end(), " ") for m in re.finditer(r"\+", text)]))
+    if "\\" in text and _byte_escape.search(text):
+        code = lambda x: chr(int(x[1:].strip("{}"), 16)) if x[0] in "xuU" else _simple.get(x, x)
+        ways.append([(m.start(), m.end(), code(m[0][1:])) for m in _byte_escape.finditer(text)])
+    for cuts in ways:
+        joined, parts, at = "", [], 0
+        for start, end, new in cuts:
+            parts += [text[at:start], new]
+            at = end
+        joined = "".join([*parts, text[at:]])
+        if not _packed.search(joined):
+            continue
+        where = _splice(text, None, cuts)[1]
+        data = memoryview(joined.encode("latin-1", "replace"))
+        for m in _packed.finditer(joined):
+            used = [0]
+            for inner in _unpacked(data[m.start() :], used, set()):
+                yield int(where[m.start()]), int(where[min(m.start() + max(used[0], 1), len(joined))]), inner
+
+
+def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Runs of either alphabet on a line, and over lines: ``start, end, characters``."""
+    met = set()
+    for pattern in _base64:
+        for m in pattern.finditer(text):
+            if m.span() not in met:
+                met.add(m.span())
+                yield m.start(), m.end(), m[0]
+    for m in _wrapped.finditer(text):
+        lines = [(x.start(1), x.end(1), x[1]) for x in _line.finditer(text, m.start(), m.end())]
+        at = 0
+        while at + 1 < len(lines):
+            width = len(lines[at + 1][2])
+            if len(lines[at][2]) < width and at + 2 < len(lines) and len(lines[at + 2][2]) > width:
+                at += 1
+                continue
+            # lines of one width, the first may begin within its line and the last may be shorter
+            if len(lines[at][2]) > width:
+                width = len(lines[at][2])
+            end = at + 1
+            while end < len(lines) and len(lines[end][2]) == width and not lines[end - 1][2].endswith("="):
+                end += 1
+            ends = {end}
+            if end < len(lines) and len(lines[end][2]) < width and not lines[end - 1][2].endswith("="):
+                ends.add(end + 1)
+            for first in {at, at + 1} if len(lines[at][2]) != width else {at}:
+                for last in ends:
+                    if last - first > 1:
+                        yield lines[first][0], lines[last - 1][1], "".join(x[2] for x in lines[first:last])
+            at = max(end, at + 1)
+
+
 def _base64_layers(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _base64.finditer(text):
-        raw = m[0].rstrip("=")
+    for start, end, run in _base64_runs(text):
+        raw = run.rstrip("=")
         if len(raw) % 4 == 1 or raw.isalpha() and (raw.islower() or raw.istitle()):
             continue  # no length of base64, or an ordinary word
         url_safe = "-" in raw or "_" in raw
@@ -144,15 +265,12 @@ def _base64_layers(text: str) -> Iterator[tuple[int, int, str]]:
             data = base64.b64decode(raw + "=" * (-len(raw) % 4), altchars=b"-_" if url_safe else None, validate=True)
         except (binascii.Error, ValueError):
             continue
-        inner = data
-        for _ in range(16):  # compressed again and again
-            more = _inflate(inner)
-            if more is None:
-                break
-            inner = more
-        new = _printable(inner)
+        if _reader(data) is not None:
+            for inner in _unpacked(data, [0], set()):
+                yield start, end, inner
+        new = _printable(data)
         if new is not None:
-            yield m.start(), m.end(), new
+            yield start, end, new
 
 
 def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[Finding]]:
@@ -184,8 +302,9 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[Findin
                 if where is not None:
                     inner_where = where[inner_where]
                 found.append((inner, inner_where if where is not None or not path else None, whole, (*path, name)))
-        for start, end, inner in _base64_layers(layer):
-            found.append((inner, None, span(where, whole, path, start, end), (*path, "base64")))
+        for name, pieces in (("base64", _base64_layers(layer)), ("packed", _embedded(layer))):
+            for start, end, inner in pieces:
+                found.append((inner, None, span(where, whole, path, start, end), (*path, name)))
         for x in found:
             key = hashlib.blake2b(x[0].encode("utf-8", "surrogatepass") + (b"" if x[1] is not None else repr(x[2]).encode()), digest_size=16).digest()
             if key not in seen:

@@ -84,3 +84,40 @@ def test_operators(spark):
     cut = S.redact(df).collect()
     assert [r["text"] for r in cut][:4] == ["[ASSIGN] and [HEX]", None, "", "[ASSIGN] and [HEX]"] and cut[0]["spans"] == "x"
     assert S.scan(df.limit(0)).collect() == S.redact(df.limit(0)).collect() == []
+
+
+def covered(run):
+    text = f"é before {run} after"
+    _, more = S.scan_text(text)
+    return any(f.kind == 0 and 9 <= f.start < f.end <= 9 + len(run) for f in more) and "hunter2" not in S.redact_text(text)
+
+
+PACKERS = {"gzip": lambda b: gzip.compress(b, mtime=0), "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress}
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_whole_layers_of_compressed_data(name):
+    pack, rng = PACKERS[name], random.Random(1)
+    for _ in range(30):
+        noise = "".join(chr(rng.randint(32, 126)) for _ in range(rng.randint(20, 150)))
+        data = pack((noise + " " + LINE + noise).encode())
+        assert covered(base64.urlsafe_b64encode(data).decode())
+        assert covered(base64.encodebytes(data).decode().strip())
+        lines = b64(data)
+        assert covered("\r\n".join(lines[i : i + 64] for i in range(0, len(lines), 64)))
+        assert covered(urllib.parse.quote(data)) and covered(urllib.parse.quote_plus(data))
+        assert covered("".join(f"\\u{b:04x}" for b in data)) and covered("".join(f"\\x{b:02x}" for b in data))
+        assert covered(repr(data)[2:-1])
+    if name != "zlib":
+        assert covered(b64(pack(b"first ") + pack(b"second ") + pack(LINE.encode())))
+
+
+def test_secrets_across_lines_and_behind_long_content():
+    wrapped = base64.encodebytes(("x" * 50 + " " + LINE + "y" * 200).encode()).decode().strip()
+    assert covered(wrapped)
+    assert covered(b64(bz2.compress(b"\0" * 40_000_000 + LINE.encode())))
+    assert covered(b64(pack_binary()))
+
+
+def pack_binary():
+    return gzip.compress(bytes(range(128, 256)) * 4 + b" " + LINE.encode(), mtime=0)
