@@ -1,8 +1,7 @@
-"""SimHash fingerprints and near-duplicate classes by multi-index ball enumeration.
+"""SimHash fingerprints and near-duplicate classes by ball enumeration.
 
-A 64-bit fingerprint is split into four 16-bit segments.  Within each segment the Hamming ball
-of radius ``ceil(d / 2)`` is enumerated around the segment's value while the other segments stay,
-which gives the table keys of a fingerprint.  Two fingerprints at distance ``d`` meet in the key
+The table keys of a 64-bit fingerprint are all values of its Hamming ball of radius ``ceil(d / 2)``,
+at most 2 (``d`` up to 4); this replaces tables per 16-bit segment.  Two fingerprints at distance ``d`` meet in the key
 halfway between them, so a key's matches are verified against each other by their complete
 distance.  Only *distinct* fingerprints enter the tables: a group of copies is one entry, and a
 key has at most as many entries as its ball, 65 for ``d = 2``; no list of pairs is ever made.
@@ -94,6 +93,8 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     For an even distance all entries of a key are within it, so a key links its entries to the
     least one.  For an odd distance a key's entries (a bounded number) are compared with each other.
     """
+    if not 0 <= distance <= 4:
+        raise ValueError("distance is at most 4: the balls have radius 2 at most")
     radius = (distance + 1) // 2
     keyed = nodes.select("fp", F.explode(ball(F.col("fp"), radius)).alias("key"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance

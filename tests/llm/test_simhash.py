@@ -131,3 +131,9 @@ def test_keep_one_similar_finds_every_pair_of_the_least_similarity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     assert {r["doc_id"] for r in S.keep_one_similar(df).collect()} == want
     assert S.keep_one_similar(df.limit(0)).collect() == []
+
+
+def test_distances_beyond_the_balls_are_refused():
+    for distance in (-1, 5, 6):
+        with pytest.raises(ValueError):
+            S.links(None, distance)
