@@ -1,4 +1,4 @@
-"""Session factory, shared folder and package shipping."""
+"""Session factory, shared folder, stored tables and package shipping."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def session(app: str = "cairn", **conf: str) -> SparkSession:
@@ -22,12 +23,12 @@ def session(app: str = "cairn", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, whatever their Python path is."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="cairn-"), "cairn_core.zip")
+    target = os.path.join(tempfile.mkdtemp(prefix="cairn-"), "cairn.zip")
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(top):
             for name in names:
@@ -39,16 +40,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    Hadoop resolves the name, so one without a scheme is on the cluster's default file system.  Only
+    a local master gets a temporary folder where none is named; elsewhere that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
         named = spark.sparkContext.getCheckpointDir()
-    return named if "://" in named or named.startswith("file:") else f"file://{named}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/cairn/{label}-{uuid.uuid4().hex}"
+    """A new name below the application's own part of the shared folder, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    top = f"{shared_dir(spark)}/cairn/{app}"
+    if _folders.get(app) != top:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _folders[app] = top
+    return f"{top}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -56,3 +73,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`stored` table that nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
