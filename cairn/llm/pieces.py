@@ -6,9 +6,9 @@ scores are exact heuristics for an A-star search that goes backward from the end
 complete path it takes from its queue is the best one, the next the second best, and so on.
 
 No piece holds a space mark behind another character, and no piece holds a character that is not
-in the model's alphabet, so the lattice falls apart at words and line feeds.  The N best paths of
-each part are found once per worker and kept; the N best paths of a text follow from those of the
-few parts whose second-best path costs least.
+in the model's alphabet, so the lattice falls apart at words and line feeds.  The forward pass finds the best path of each part once per task, and the score of the second-best one;
+the N best paths of a text follow from those of the N - 1 parts whose second-best path loses least, so
+only these need the A-star search.
 
 A character without a piece of its own is one edge made of byte pieces, and a literal U+2581 is
 encoded by bytes too, so decoding gives back every text exactly.  The model's own normaliser must
@@ -16,7 +16,9 @@ be the identity with a leading space mark, which loading checks.
 
 Defined results.  Null text: null ids; empty text: no ids; both with score 0.  Paths of equal score
 come in the order in which the search meets them, which depends on the text only.  Repeated rows
-get equal results.  Empty table: empty result.  Other columns are kept.
+get equal results.  Very long texts go through whole: a part is searched by itself, and rows reach
+Python in slices of bounded bytes.  Empty table: empty result.  Other columns are kept; one with the
+name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -33,16 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.shared import ship
+from cairn.llm.shared import ship, slices
 
 SPACE, LITERAL = "▁", "\ud800"  # a lone surrogate is in no text
 UNKNOWN_PENALTY = 10.0
-#: Parts kept per generation of a worker's cache.
-CACHE = 300_000
+#: Bytes, about, of the parts that a worker keeps within a task, and of a part without its characters and ids.
+CACHE_BYTES, ENTRY = 160 << 20, 260
 _NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
-def _pack(ids: tuple[int, ...]) -> bytes:
+def _pack(ids: tuple[int, ...] | list[int]) -> bytes:
     return array("I", ids).tobytes() if _NATIVE else np.array(ids, dtype="<u4").tobytes()
 
 
@@ -78,10 +80,16 @@ class PieceModel:
                 self.prefixes[piece] = (i, score)
                 self.content.append(piece.replace(SPACE, " ").encode())
         self.unknown = min(scores) - UNKNOWN_PENALTY
+        self.trie: dict[str, tuple[dict, tuple[int, float] | None]] = {}
+        for piece, found in self.prefixes.items():
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, None))[0]
+            node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, found)
         self.feeds = "\n" if not any("\n" in p for p in self.prefixes) else ""
         self.parts = re.compile(rf"{self.feeds}|{SPACE}+[^{SPACE}{self.feeds}]*|[^{SPACE}{self.feeds}]+" if self.feeds else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.limit = CACHE
-        self.caches: dict[int, tuple[dict[str, tuple], dict[str, tuple]]] = {}
+        self.limit = CACHE_BYTES
+        self.release()
 
     def lattice(self, part: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
         """Per end: edges ``(begin, ids, score)``; and the forward Viterbi scores."""
@@ -144,49 +152,123 @@ class PieceModel:
             out.append((behind, tuple(ids)))
         return out
 
-    def _part(self, part: str, n: int) -> tuple:
-        """``(ids as bytes, score, loss and ids of the second path, of the third, ...)``: one flat tuple."""
-        paths = self.n_best(part, n)
-        best = paths[0][0]
-        out: list = [_pack(paths[0][1]), best]
-        for score, ids in paths[1:]:
-            out += (best - score, _pack(ids))
-        return tuple(out)
-
-    def _found(self, parts: list[str], n: int) -> list[tuple]:
-        """Parts' best paths, from two generations of a cache: what is used again moves to the young one."""
-        young, old = self.caches.setdefault(n, ({}, {}))
-        out = [young.get(part) for part in parts]
-        if None in out:
-            if len(young) + len(parts) > self.limit:
-                old, young = young, {}
-                self.caches[n] = (young, old)
-            for i, x in enumerate(out):
-                if x is None:
-                    part = parts[i]
-                    out[i] = young[part] = young.get(part) or old.get(part) or self._part(part, n)
-        return out
+    def viterbi(self, part: str) -> tuple[float, float, bytes]:
+        """Scores of the best path and of the second-best one (-inf if there is none), and the best one's ids."""
+        n = len(part)
+        nothing = float("-inf")
+        first, second = [nothing] * (n + 1), [nothing] * (n + 1)
+        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        first[0] = 0.0
+        root, unknown = self.trie, self.unknown
+        for i in range(n):
+            here, here2, node, j = first[i], second[i], root, i
+            hit = root.get(part[i])
+            if hit is None or hit[1] is None:  # no piece of this character alone
+                j += 1
+                a, b = here + unknown, here2 + unknown
+                if a > first[j]:
+                    second[j] = max(first[j], b)
+                    first[j], back[j] = a, (i, -1)
+                elif a > second[j]:
+                    second[j] = a
+                j = i
+            while hit is not None:
+                node, edge = hit
+                j += 1
+                if edge is not None:
+                    a = here + edge[1]
+                    if a > first[j]:
+                        b = here2 + edge[1]
+                        second[j] = first[j] if first[j] > b else b
+                        first[j], back[j] = a, (i, edge[0])
+                    elif a > second[j]:
+                        second[j] = a
+                if j == n:
+                    break
+                hit = node.get(part[j])
+        ids: list[int] = []
+        at = n
+        while at:
+            at, piece = back[at]
+            if piece < 0:
+                ids += [self.bytes[x] for x in reversed((SPACE if part[at] == LITERAL else part[at]).encode("utf-8"))]
+            else:
+                ids.append(piece)
+        ids.reverse()
+        return first[n], second[n], _pack(ids)
+
+    def _add(self, part: str) -> int:
+        """Keep a part's best path and what its second-best one loses."""
+        best, second, packed = self.viterbi(part)
+        at = len(self.packed)
+        if at == len(self.best):
+            grow = max(1 << 12, at)
+            self.best, self.loss, self.size = (np.concatenate([x, np.zeros(grow, dtype=x.dtype)]) for x in (self.best, self.loss, self.size))
+        self.best[at], self.loss[at], self.size[at] = best, best - second, len(packed)
+        self.packed.append(packed)
+        self.index[part] = at
+        self.held += ENTRY + 2 * len(part) + len(packed)
+        return at
+
+    def _others(self, part: str, at: int, n: int) -> list[tuple[float, bytes]]:
+        """What the part's next best ``n - 1`` paths lose, and their ids."""
+        found = self.others.get(at)
+        if found is None:
+            best, packed = float(self.best[at]), self.packed[at]
+            found = [(best - score, ids) for score, ids in ((score, _pack(ids)) for score, ids in self.n_best(part, n)) if ids != packed][: n - 1]
+            self.others[at] = found
+            self.held += sum(ENTRY + len(ids) for _, ids in found)
+        return found
+
+    def release(self) -> None:
+        """Forget all parts met so far."""
+        self.index: dict[str, int] = {}
+        self.packed: list[bytes] = []
+        self.others: dict[int, list[tuple[float, bytes]]] = {}
+        self.best, self.loss, self.size = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
+        self.held, self.n = 0, 0
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The ``n`` best encodings ``(score, ids as little-endian u32)`` of a text, best first."""
         if not text:
             return [(0.0, b"")]
-        found = self._found(self.parts.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)), n)
-        ids = [x[0] for x in found]
-        score = sum(x[1] for x in found)
-        out = [(score, b"".join(ids))]
+        if self.held > self.limit or n != self.n:
+            self.release()
+            self.n = n
+        parts = self.parts.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
+        index = self.index
+        at = list(map(index.get, parts))
+        if None in at:
+            for i, x in enumerate(at):
+                if x is None:
+                    part = parts[i]
+                    at[i] = index[part] if part in index else self._add(part)
+        packed = self.packed
+        ids = b"".join([packed[i] for i in at])
+        where = np.array(at)
+        score = float(self.best[where].sum())
+        out = [(score, ids)]
         if n > 1:
             # a path beyond the n best changes a part whose change costs more than n - 1 others do
-            costs = heapq.nsmallest(n - 1, [(x[2], i) for i, x in enumerate(found) if len(x) > 2])
+            loss = self.loss[where]
+            if len(loss) > n - 1:
+                few = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2])
+                few = few[np.argsort(loss[few], kind="stable")[: n - 1]]
+            else:
+                few = np.argsort(loss, kind="stable")
             best: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
-            for _, i in costs:
-                options = [(found[i][k], ((i, found[i][k + 1]),)) for k in range(2, len(found[i]), 2)]
-                best = heapq.nsmallest(n, [*best, *((a + loss, change + new) for a, change in best for loss, new in options)], key=lambda x: x[0])
-            for loss, change in best[1:]:
-                other = list(ids)
-                for i, new in change:
-                    other[i] = new
-                out.append((score - loss, b"".join(other)))
+            for i in few.tolist():
+                options = [(cost, ((i, new),)) for cost, new in self._others(parts[i], at[i], n)]
+                best = heapq.nsmallest(n, [*best, *((a + cost, change + new) for a, change in best for cost, new in options)], key=lambda x: x[0])
+            if len(best) > 1:
+                ends = np.cumsum(self.size[where])
+                for cost, change in best[1:]:
+                    other, done = [], 0
+                    for i, new in sorted(change, key=lambda x: x[0]):
+                        end = int(ends[i])
+                        other += (ids[done : end - len(packed[at[i]])], new)
+                        done = end
+                    out.append((score - cost, b"".join([*other, ids[done:]])))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -204,13 +286,16 @@ def load(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out: str = "ids", cache: int = CACHE, release: bool = False) -> DataFrame:
-    """``cache`` and ``release`` (empty the cache after each task) trade memory of the workers for time.
+def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out: str = "ids", cache_bytes: int = CACHE_BYTES, decoded: str | None = None) -> DataFrame:
+    """``df`` with ``out`` (binary, ids as little-endian u32), ``<out>_score`` and ``<out>_n_best`` (array of score and ids, best first).
 
-    Returns ``df`` with ``out`` (binary, ids as little-endian u32), ``<out>_score`` and ``<out>_n_best`` (array of score and ids, best first)."""
+    ``decoded`` names a further column: the text that the ids of ``out`` stand for.  A worker keeps
+    the parts it has searched, up to ``cache_bytes``, and forgets them with its task.
+    """
     ship(df.sparkSession)
     best = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.BinaryType())]))
     extra = [T.StructField(out, T.BinaryType()), T.StructField(f"{out}_score", T.DoubleType()), T.StructField(f"{out}_n_best", best)]
+    extra += [T.StructField(decoded, T.StringType())] if decoded else []
     names = [f.name for f in extra]
     source = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names))
     at = source.columns.index(text)
@@ -218,17 +303,18 @@ def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model)
-        coder.limit = cache
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+        coder.limit = cache_bytes
+        try:
+            for part in slices(batches, at):
                 found = [None if t is None else coder.encode(t, n_best) for t in part.column(at).to_pylist()]
-                ids = pa.array([None if x is None else x[0][1] for x in found], pa.binary())
-                score = pa.array([0.0 if x is None else x[0][0] for x in found], pa.float64())
-                every = pa.array([None if x is None else [{"score": s, "ids": i} for s, i in x] for x in found], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, score, every], names=[*part.schema.names, *names])
-        if release:
-            coder.caches.clear()  # the worker stays, and other stages need its memory
+                columns = [pa.array([None if x is None else x[0][1] for x in found], pa.binary())]
+                columns.append(pa.array([0.0 if x is None else x[0][0] for x in found], pa.float64()))
+                columns.append(pa.array([None if x is None else [{"score": s, "ids": i} for s, i in x] for x in found], kind))
+                if decoded:
+                    columns.append(pa.array([None if x is None else coder.decode(x[0][1]) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
+        finally:
+            coder.release()  # the worker stays, and other tasks need its memory
 
     return source.mapInArrow(run, T.StructType([*source.schema, *extra]))
 
@@ -241,10 +327,8 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                texts = pa.array([None if x is None else coder.decode(x) for x in part.column(at).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
+        for part in slices(batches, at):
+            texts = pa.array([None if x is None else coder.decode(x) for x in part.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
 
     return source.mapInArrow(run, T.StructType([*source.schema, T.StructField(out, T.StringType())]))

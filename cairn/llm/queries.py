@@ -30,16 +30,16 @@ def piece_model_path() -> str:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
-    """Per document the three best encodings' scores, the best one's digest and whether it decodes to the text."""
+    """Per document the three best encodings' scores and digests, and whether the best one decodes to the text."""
     model = model or piece_model_path()
-    found = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, n_best=3)
-    found = found.select("doc_id", "text", "ids", "ids_score", F.col("ids_n_best.score").alias("n_best_scores"))
-    return pieces.decode(found, model).select(
+    found = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, n_best=3, decoded="decoded")
+    return found.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),
         F.col("ids_score").alias("score"),
-        "n_best_scores",
+        F.col("ids_n_best.score").alias("n_best_scores"),
+        F.transform("ids_n_best", lambda x: F.crc32(x["ids"])).alias("n_best_crc32"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
 

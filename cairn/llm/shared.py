@@ -1,4 +1,4 @@
-"""Helpers of the training-data operators: shared folder, materialised tables, row ids, components.
+"""Helpers of the training-data operators: batches, materialised tables, row ids, components.
 
 Intermediate results are cut from their lineage by writing Parquet below the folder that the
 cluster names in ``spark.checkpoint.dir``.  Losing an executor therefore never loses them, and a
@@ -8,65 +8,54 @@ key is hot.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from cairn import session
+from cairn.session import discard, fresh_dir
 
+__all__ = ["components", "discard", "fresh_dir", "materialize", "numbered", "ship", "slices"]
 
-#: Rows that go to Python at once: texts are long, and a batch is in memory on both sides.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to Python at once: texts are long, and a batch is in memory on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, whatever their Python path is; keep batches small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="cairn-"), "cairn.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named if "://" in named or named.startswith("file:") else f"file://{named}"
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/cairn/{label}-{uuid.uuid4().hex}"
+    """Give the executors this package, and keep the session's Arrow batches small (never larger than they were)."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(str(spark.conf.get(key)).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
+    session.ship(spark)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE_ROWS rows and about SLICE_BYTES bytes in column ``text``; one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        start = held = 0
+        for i, n in enumerate(sizes):
+            if i > start and (i - start >= SLICE_ROWS or held + n > SLICE_BYTES):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if len(sizes) > start:
+            yield batch.slice(start)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return session.stored(df, label)
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A unique id per row, the same at each evaluation of one stored table (partition and offset)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+    """``df`` stored once with a unique number per row, so that every later read sees the same numbers."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
 def components(edges: DataFrame, a: str, b: str, label: str = "components") -> DataFrame:
@@ -90,12 +79,16 @@ def components(edges: DataFrame, a: str, b: str, label: str = "components") -> D
         left, right = step.toDF("u", "tu"), step.toDF("v", "tv")
         moved = graph.join(left, "u").join(right, "v").where("tu != tv")
         moved = moved.select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct()
-        graph = materialize(moved, f"{label}-edges")
+        old, graph = graph, materialize(moved, f"{label}-edges")
+        discard(old)
     if not maps:
         return graph.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = maps.pop()
     while maps:
         below = found.toDF("to", "end")
-        found = materialize(maps.pop().join(below, "to", "left").select("u", F.coalesce("end", "to").alias("to")), f"{label}-map")
+        step = maps.pop()
+        old, found = (found, step), materialize(step.join(below, "to", "left").select("u", F.coalesce("end", "to").alias("to")), f"{label}-map")
+        for x in old:
+            discard(x)
     least = materialize(found.groupBy("to").agg(F.min("u").alias("root")), f"{label}-roots")
     return materialize(found.join(least, "to").select(F.col("u").alias("node"), "root"), label)
