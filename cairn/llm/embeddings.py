@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import components, materialize, ship, with_row_id
+from cairn.llm.shared import components, materialize, ship
 
 WIDTH, FILL, RECALL, BLOCK, SEED = 2.0, 40, 0.97, 1024, 20_111
 
@@ -79,7 +79,7 @@ def bucket_keys(vectors: np.ndarray, k: int, tables: int) -> np.ndarray:
 
 def _packed(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """``row, id, vec``: comparable vectors as packed doubles, others null."""
-    source = with_row_id(df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")), "row").select("row", "id", "v")
+    source = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))  # stored once with its numbers
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

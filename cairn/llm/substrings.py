@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import materialize, ship, with_row_id
+from cairn.llm.shared import materialize, numbered, ship
 
 GRAM = 64
 BUCKET = 256
@@ -448,7 +448,7 @@ def with_spans(df: DataFrame, text: str = "text", min_len: int = 200, keep: str
     if keep not in ("first", "none") or min_len < GRAM:
         raise ValueError("keep is 'first' or 'none'; min_len is at least GRAM")
     ship(df.sparkSession)
-    rows = with_row_id(df, _ROW).withColumn(_TEXT, F.col(text).cast("binary"))
+    rows = numbered(df, _ROW, "substrings-rows").withColumn(_TEXT, F.col(text).cast("binary"))
     spans = removed_spans(rows.select(_ROW, _TEXT), min_len, keep)
     lists = spans.groupBy(_ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("__cairn_spans"))  # bounded by a row's text
     return rows.join(lists, _ROW, "left")
