@@ -16,6 +16,8 @@ from cairn.functions import codec
 #: Fixed values of the hash: seed and multiplier.
 SEED, FACTOR = 0xBC9F1D34, 0xC6A4A793
 BITS_PER_KEY = 10
+#: Up to here (1 MB) a filter goes to every task as a whole.
+SMALL_BITS = 1 << 23
 
 
 def probes(bits_per_key: int = BITS_PER_KEY) -> int:
@@ -68,8 +70,34 @@ def build(keys: DataFrame, h: Column, bits: Column | int, k: int) -> DataFrame:
     return rows.groupBy(F.floor(F.col("p") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("mask"))
 
 
+def matches(h: Column, filter_: Column) -> Column:
+    """Whether a filter's bytes (bits, then the number of probes) may hold a hash: no below 2 bytes, yes above 30 probes."""
+    size = F.octet_length(filter_)
+    bits = ((size - 1) * 8).cast("long")
+    k = codec.byte_at(filter_, size - 1)
+    delta = lambda x: F.shiftrightunsigned(x, 17).bitwiseOR(F.shiftleft(x, 15).bitwiseAND(codec.M32))
+    places = codec.let(h, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: (x + i * delta(x)).bitwiseAND(codec.M32) % bits))
+    is_set = lambda p: F.call_function("shiftright", codec.byte_at(filter_, F.floor(p / 8).cast("int")), (p % 8).cast("int")).bitwiseAND(1) == 1
+    return F.when(size < 2, F.lit(False)).when(k > 30, F.lit(True)).when(k < 1, F.lit(True)).otherwise(F.forall(places, is_set))
+
+
 def may_contain(probes_: DataFrame, key: str, h: Column, words: DataFrame, bits: int, k: int) -> DataFrame:
-    """``k, may_contain`` for each (distinct) key; small filters are broadcast by Spark by their size."""
+    """``k, may_contain`` for each (distinct) key.
+
+    The words of a filter of at most ``SMALL_BITS`` go to every task, and a probe looks up its words
+    there, without a shuffle.  A larger one is joined word by word.
+    """
+    if bits <= SMALL_BITS:
+        rows = probes_.select(F.col(key).alias("k"), h.alias("_h")).distinct()
+        at = positions(F.col("_h"), F.lit(bits).cast("long"), k)
+        rows = rows.select("k", *(at[i].alias(f"_p{i}") for i in range(k)))
+        hit = F.lit(True)
+        for i in range(k):
+            own = F.broadcast(words.select(F.col("word").alias(f"_w{i}"), F.col("mask").alias(f"_m{i}")))
+            rows = rows.join(own, F.floor(F.col(f"_p{i}") / 64).cast("long") == F.col(f"_w{i}"), "left")
+            bit = F.call_function("shiftrightunsigned", F.col(f"_m{i}"), (F.col(f"_p{i}") % 64).cast("int")).bitwiseAND(1) == 1
+            hit = hit & F.coalesce(bit, F.lit(False))
+        return rows.select("k", hit.alias("may_contain"))
     rows = probes_.select(F.col(key).alias("k"), F.explode(positions(h, F.lit(bits).cast("long"), k)).alias("p"))
     rows = rows.select("k", F.floor(F.col("p") / 64).cast("long").alias("word"), (F.col("p") % 64).cast("int").alias("b")).join(words, "word", "left")
     hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("mask"), F.col("b")).bitwiseAND(1) == 1, F.lit(False))
@@ -80,7 +108,7 @@ def pack(words: DataFrame, bits: int, k: int) -> DataFrame:
     """One row with the filter's bytes: bits, then the number of probes.  For filters of one block or file."""
     every = words.sparkSession.range(0, (bits + 63) // 64).withColumnRenamed("id", "word").join(words, "word", "left")
     whole = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))).alias("all"))
-    data = F.aggregate("all", F.unhex(F.lit("")), lambda a, w: F.concat(a, codec.encode_fixed64(w["mask"])))
+    data = F.unhex(F.array_join(F.transform("all", lambda w: F.hex(codec.encode_fixed64(w["mask"]))), ""))
     return whole.select(F.concat(F.substring(data, 1, bits // 8), F.unhex(F.lit(f"{k:02x}"))).alias("filter"))
 
 
@@ -88,3 +116,17 @@ def sizing(items: int, rate: float) -> tuple[int, int]:
     """Bytes and probes for a false-positive rate; a rate above 1 is a number of bytes."""
     size = int(rate) if rate > 1 else math.ceil(items * math.log(rate) / (-8 * math.log(2) ** 2))
     return size, max(1, math.ceil(size * 8 / items * math.log(2)))
+
+
+def block_filters(rows: DataFrame, block: str, h: Column, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+    """``block, filter``: each block's filter as bytes; a block's keys are few, so they may be gathered."""
+    k = probes(bits_per_key)
+    keys = rows.select(block, h.alias("_h"))
+    size = F.floor((F.greatest(F.lit(64), F.count("*") * bits_per_key) + 7) / 8).cast("long")
+    keys = keys.join(keys.groupBy(block).agg(size.alias("size")), block)
+    spread = keys.select(block, "size", F.explode(positions(F.col("_h"), F.col("size") * 8, k)).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int"))
+    set_ = spread.groupBy(block, "size", F.floor(F.col("p") / 8).cast("long").alias("at")).agg(F.bit_or(bit).alias("bits"))
+    whole = set_.groupBy(block, "size").agg(F.map_from_entries(F.collect_list(F.struct("at", F.lpad(F.hex("bits"), 2, "0").alias("hex")))).alias("all"))
+    hexed = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda i: F.coalesce(F.try_element_at("all", i), F.lit("00"))), "")
+    return whole.select(block, F.unhex(F.concat(hexed, F.lit(f"{k:02x}"))).alias("filter"))

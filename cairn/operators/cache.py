@@ -5,9 +5,10 @@ An entry lives while ``now <= exp``; a null ``exp`` never expires.  Expiry bucke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions import codec
 from cairn.operators import memtable, ordered
 
 BUCKET_SECONDS, SHARDS, BATCH = 5, 256, 64
@@ -106,8 +107,50 @@ def seen_before(df: DataFrame, key: str, seq: str) -> DataFrame:
 
 def residency(df: DataFrame, key: str, seq: str, ts: str) -> DataFrame:
     """``hours, n``: whole hours between a version and the one that replaces it."""
-    order = Window.partitionBy(key).orderBy(seq)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(at.alias("a"), F.lead(at).over(order).alias("b")).where("b is not null")
-    gap, hour = F.col("b") - F.col("a"), 3_600_000_000
+    rows = ordered.previous(df.select(F.col(key).alias("k"), F.col(seq).alias("seq"), F.unix_micros(F.col(ts).cast("timestamp")).alias("a")), ["k", "a"], "k", "seq")
+    rows = rows.where(F.col("_prev.k").eqNullSafe(F.col("k")) & F.col("_prev").isNotNull())
+    gap, hour = F.col("a") - F.col("_prev.a"), 3_600_000_000
     return rows.groupBy(((gap - F.pmod(gap, F.lit(hour))) / hour).cast("long").alias("hours")).agg(F.count("*").alias("n"))
+
+
+# --- conflict hashes -----------------------------------------------------------------------
+
+
+def hashed(df: DataFrame, key: str, integral: bool, **columns: Column) -> DataFrame:
+    """``h, conflict`` of a cache key, and ``columns``."""
+    h, conflict = codec.key_hash(F.col(key), integral)
+    return df.select(h.alias("h"), conflict.alias("conflict"), *(c.alias(n) for n, c in columns.items()))
+
+
+def set_checked(entries: DataFrame, seq: str) -> DataFrame:
+    """What a map keyed by ``h`` holds after sets in order of ``seq``: a set with another conflict hash than the entry's is ignored.
+
+    The first set of a hash fixes its conflict hash.  Later sets count if theirs is equal, or 0, which
+    is the entry's from then on.  Both bounds are aggregates, so no hash needs its sets in order.
+    """
+    zero = F.min(F.when(F.col("conflict") == 0, F.col(seq)))
+    first = entries.groupBy("h").agg(F.min_by("conflict", seq).alias("_c"), zero.alias("_z"))
+    same = (F.col("conflict") == F.col("_c")) & (F.col("_z").isNull() | (F.col(seq) < F.col("_z")))
+    rows = entries.join(first, "h").where((F.col("conflict") == 0) | same)
+    kept = F.struct("conflict", seq, *(c for c in entries.columns if c not in ("h", "conflict", seq)))
+    return rows.groupBy("h").agg(F.max_by(kept, seq).alias("_m")).select("h", "_m.*")
+
+
+def get_checked(held: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes`` (``h, conflict``) with the columns of the entry; null where there is none or the conflict hash differs; 0 asks for any."""
+    entry = held.select(F.col("h"), F.col("conflict").alias("_c"), F.struct(*(c for c in held.columns if c not in ("h", "conflict"))).alias("_m"))
+    rows = probes.join(entry, "h", "left")
+    fits = (F.col("conflict") == 0) | (F.col("conflict") == F.col("_c"))
+    return rows.withColumn("_m", F.when(fits, F.col("_m"))).select(*probes.columns, "_m.*")
+
+
+def remove_checked(held: DataFrame, gone: DataFrame) -> DataFrame:
+    """``held`` with ``removed``: whether a removal of ``gone`` (``h, conflict``) hits the entry, whose old value then stands there."""
+    asked = gone.groupBy("h").agg(F.collect_set("conflict").alias("_cs"))  # few kinds: a hash has two conflict hashes or so
+    hit = F.coalesce(F.array_contains("_cs", F.lit(0).cast("long")) | F.array_contains(F.col("_cs"), F.col("conflict")), F.lit(False))
+    return held.join(asked, "h", "left").withColumn("removed", hit).drop("_cs")
+
+
+def cleaned(df: DataFrame, key: str, seq: str, exp: Column, at: Column) -> DataFrame:
+    """``k``: what a sweep of the single bucket to clean at ``at`` evicts."""
+    return registered(df, key, seq, exp).where(F.col("bucket") == clean_bucket(at)).select("k")

@@ -6,10 +6,11 @@ A version is ``key, seq`` and a value or a deletion mark.  The newest version of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import codec
+from cairn.operators import ordered
 
 
 def versions(df: DataFrame, key: str, seq: str, deleted: Column, value: str) -> DataFrame:
@@ -72,6 +73,25 @@ def usage(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def previous_value(df: DataFrame, key: str, seq: str, value: str) -> DataFrame:
-    """``k, seq, v, old_v``: what each version replaces."""
-    order = Window.partitionBy(key).orderBy(seq)
-    return df.select(F.col(key).alias("k"), F.col(seq).alias("seq"), F.col(value).alias("v"), F.lag(value).over(order).alias("old_v"))
+    """``k, seq, v, old_v``: what each version replaces.
+
+    Versions are in one global order by key and sequence, so the versions of a hot key are spread.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(seq).alias("seq"), F.col(value).alias("v"))
+    rows = ordered.previous(rows, ["k", "v"], "k", "seq")
+    return rows.select("k", "seq", "v", F.when(F.col("_prev.k").eqNullSafe(F.col("k")), F.col("_prev.v")).alias("old_v"))
+
+
+def put(log: DataFrame | None, entries: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The write path: ``k, seq, vtype, tag, v, record`` of ``log`` (None: empty) and of ``entries`` appended to it.
+
+    Entries get the sequences behind the last one of the log, in the order of column ``order``; a null
+    value is a deletion.  ``record`` is the encoded version that goes to the log file.
+    """
+    last = F.lit(-1).cast("long") if log is None else log.agg(F.coalesce(F.max("seq"), F.lit(-1)).cast("long").alias("s")).scalar()
+    rows = ordered.row_numbers(entries.select(F.col(key).alias("k"), F.col(value).alias("v"), F.col(order).alias("_order")), "_order")
+    rows = rows.withColumn("seq", last + 1 + F.col("rn")).withColumn("vtype", F.when(F.col("v").isNull(), codec.DELETION).otherwise(codec.VALUE).cast("int"))
+    rows = rows.withColumn("tag", codec.tag(F.col("seq"), F.col("vtype")))
+    record = codec.encode_version(F.col("k").cast("binary"), F.col("tag"), F.coalesce(F.col("v").cast("binary"), F.unhex(F.lit(""))))
+    rows = rows.select("k", "seq", "vtype", "tag", "v", record.alias("record"))
+    return rows if log is None else log.unionByName(rows)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators import cache
+
 #: The names of the counters.
 NAMES = ("hit", "miss", "keys-added", "keys-updated", "keys-evicted", "cost-added", "cost-evicted", "sets-dropped", "sets-rejected", "gets-dropped", "gets-kept")
 
@@ -19,10 +21,25 @@ def hits(df: DataFrame, key: str) -> DataFrame:
     return total.select("hits", "misses", F.try_divide(F.col("hits").cast("double"), F.col("hits") + F.col("misses")).alias("hit_ratio"))
 
 
+def ratios(df: DataFrame, key: str) -> DataFrame:
+    """:func:`hits` and ``hit_miss_ratio``, the raw quotient of hits and misses: 0 if there are neither, infinite if only misses lack."""
+    quotient = F.when(F.col("hits") + F.col("misses") == 0, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("misses")), F.lit(float("inf"))))
+    return hits(df, key).select("*", quotient.alias("hit_miss_ratio"))
+
+
 def of_replay(events: DataFrame) -> DataFrame:
-    """``metric, value`` for every counter from the rows of an admission replay."""
+    """``metric, value`` for every counter from the rows of an admission replay with its gets.
+
+    Accesses reach the policy in batches of ``cache.BATCH`` a shard, so the gets of full batches are
+    kept.  A table has no channel that could be full, so no get and no set is dropped.
+    """
     event, cost = F.col("event"), F.col("cost")
+    is_get = event.isin("hit", "miss")
+    batches = events.where(is_get).groupBy("shard").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.floor(F.col("n") / cache.BATCH) * cache.BATCH), F.lit(0)).cast("long").alias("n"))
     values = {
+        "hit": F.count_if(event == "hit"),
+        "miss": F.count_if(event == "miss"),
+        "gets-kept": F.max(batches.scalar()),
         "keys-added": F.count_if(event == "admit"),
         "keys-updated": F.count_if(event == "update"),
         "keys-evicted": F.count_if(event == "evict"),

@@ -7,6 +7,7 @@ streaming the shard's operations in order with the shard's residents as its only
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -73,6 +74,8 @@ class Admission:
     residents: dict[int, int] = field(default_factory=dict)
     doorkeeper: set[int] = field(default_factory=set)
     counts: dict[int, int] = field(default_factory=dict)
+    heap: list[tuple[int, int]] = field(default_factory=list)
+    ranked: set[int] = field(default_factory=set)
     used: int = 0
     accesses: int = 0
 
@@ -87,32 +90,60 @@ class Admission:
             self.accesses = 0
             self.doorkeeper.clear()
             self.counts = {k: c // 2 for k, c in self.counts.items() if c > 1}
+            self._rebuild()
 
     def frequency(self, key: int) -> int:
         return self.counts.get(key, 0) + (key in self.doorkeeper)
 
-    def add(self, key: int, cost: int) -> tuple[list[int], bool]:
-        """Evicted keys and whether the key was admitted."""
+    def _rank(self, key: int) -> tuple[int, int]:
+        return self.frequency(key), key
+
+    def _rebuild(self) -> None:
+        self.ranked = set(self.residents)
+        self.heap = [self._rank(k) for k in self.residents]
+        heapq.heapify(self.heap)
+
+    def _least(self) -> int:
+        """The least frequent resident, ties by key.
+
+        The heap holds a rank for each resident that is not above its present one, so those that have
+        risen go back in.  It is built anew where residents are not in it, and after a halving.
+        """
+        if len(self.ranked) != len(self.residents):
+            self._rebuild()
+        while True:
+            hits, key = self.heap[0]
+            if key in self.residents and (rank := self._rank(key)) == (hits, key):
+                return key
+            heapq.heappop(self.heap)
+            if key in self.residents:
+                heapq.heappush(self.heap, rank)
+
+    def add(self, key: int, cost: int) -> tuple[list[tuple[int, int]], bool]:
+        """Evicted keys with their costs, and whether the key was admitted."""
         if cost > self.max_cost:
             return [], False
         if key in self.residents:
             self.used += cost - self.residents[key]
             self.residents[key] = cost
             return [], False
-        gone: list[int] = []
+        gone: list[tuple[int, int]] = []
         hits = self.frequency(key)
         while self.used + cost > self.max_cost:
-            victim = min(self.residents, key=lambda k: (self.frequency(k), k))
+            victim = self._least()
             if hits < self.frequency(victim):
                 return gone, False
+            gone.append((victim, self.residents[victim]))
             self.remove(victim)
-            gone.append(victim)
         self.residents[key] = cost
         self.used += cost
+        self.ranked.add(key)
+        heapq.heappush(self.heap, self._rank(key))
         return gone, True
 
     def remove(self, key: int) -> None:
         self.used -= self.residents.pop(key, 0)
+        self.ranked.discard(key)
 
     def update(self, key: int, cost: int) -> bool:
         if key not in self.residents:
@@ -122,10 +153,16 @@ class Admission:
         return True
 
 
-def replay(ops: DataFrame, max_cost: int, shards: int = 1) -> DataFrame:
+def cost_of(residents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``k, cost`` for each ``k`` of ``wanted``: the cost of a resident, -1 for others."""
+    return wanted.join(residents.select("k", F.col("cost").cast("long").alias("cost")), "k", "left").select("k", F.coalesce("cost", F.lit(-1).cast("long")).alias("cost"))
+
+
+def replay(ops: DataFrame, max_cost: int, shards: int = 1, gets: bool = False) -> DataFrame:
     """Replay ``seq, op, key, cost`` (op: add, access, remove, update) in order of ``seq``, a policy per shard.
 
-    Rows ``shard, seq, key, event, cost``: admit, reject, update, remove and evict.
+    Rows ``shard, seq, key, event, cost``: admit, reject, update, remove and evict; with ``gets`` also
+    hit or miss for every access, by whether the key is resident.
     """
     ship(ops.sparkSession)
     share = max(1, max_cost // shards)
@@ -140,6 +177,8 @@ def replay(ops: DataFrame, max_cost: int, shards: int = 1) -> DataFrame:
                 if shard != current:
                     state, current = Admission(share), shard
                 if op == "access":
+                    if gets:
+                        out.append((shard, seq, key, "hit" if key in state.residents else "miss", 0))
                     state.access(key)
                 elif op == "remove":
                     if key in state.residents:
@@ -150,9 +189,8 @@ def replay(ops: DataFrame, max_cost: int, shards: int = 1) -> DataFrame:
                         out.append((shard, seq, key, "update", cost))
                 else:
                     resident = key in state.residents
-                    costs = dict(state.residents) if state.used + cost > share else state.residents
                     gone, added = state.add(key, cost)
-                    out += [(shard, seq, v, "evict", costs[v]) for v in gone]
+                    out += [(shard, seq, v, "evict", lost) for v, lost in gone]
                     out.append((shard, seq, key, "admit" if added else "update" if resident and cost <= share else "reject", cost))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())

@@ -6,7 +6,7 @@ above the target size; the entry's own offset is not counted, so a block may be
 
 With entries of one size a block number is a row number divided by a constant.  Entries of several sizes
 need an ordered fold, which runs inside each range partition: partitions are separate files of a
-sorted table, and each begins a block.  ``pack`` makes one partition of a table that is one file.
+sorted table, and each begins a block.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import codec
-from cairn.operators import ordered
+from cairn.operators import bloom, ordered
 from cairn.session import ship
 
 BLOCK_SIZE = 4096
@@ -62,9 +62,31 @@ def block(blocks: DataFrame, n: int) -> DataFrame:
     return blocks.where(F.col("block_id") == n)
 
 
-def pack(df: DataFrame, key: str, size: Column, block_size: int = BLOCK_SIZE, files: int = 1) -> DataFrame:
-    """``file, block_id, base_key, entries, bytes`` by the greedy fold, streamed through each file's range."""
+def find_key_block(index_: DataFrame, filters: DataFrame, targets: DataFrame, h: Column) -> DataFrame:
+    """``t, block_id`` for each target ``t`` (distinct) whose block's filter may hold it.
+
+    ``index_`` has the base keys, ``filters`` the blocks' filters; ``h``: the hash of ``t``.
+    """
+    found = ordered.nearest(index_, "base_key", targets.select("t"), "t", below=True, or_equal=True).withColumnRenamed("k", "base_key")
+    rows = found.where("base_key is not null").join(index_.select("base_key", "block_id"), "base_key").join(filters, "block_id")
+    return rows.where(bloom.matches(h, F.col("filter"))).select("t", "block_id")
+
+
+def get(blocks: DataFrame, index_: DataFrame, filters: DataFrame, targets: DataFrame, h: Column) -> DataFrame:
+    """``t, found, v``: targets looked up through index and filters, then in the entries ``block_id, k, v`` of their blocks only."""
+    where = find_key_block(index_, filters, targets, h)
+    hits = where.join(blocks, (where["block_id"] == blocks["block_id"]) & (where["t"] == blocks["k"])).select("t", "v", F.lit(True).alias("found"))
+    return targets.select("t").join(hits, "t", "left").select("t", F.coalesce("found", F.lit(False)).alias("found"), "v")
+
+
+def pack(df: DataFrame, key: str, size: Column, block_size: int = BLOCK_SIZE, files: int | None = 1) -> DataFrame:
+    """``file, block_id, base_key, entries, bytes`` by the greedy fold, streamed through each file's range.
+
+    Files are ranges of keys, each written by a task of its own that numbers its blocks from 0.  One table is
+    one file; None makes as many as there are shuffle partitions.
+    """
     ship(df.sparkSession)
+    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).alias("k"), size.cast("long").alias("size"))
     rows = rows.repartitionByRange(files, "k").sortWithinPartitions("k")
     kind = rows.schema["k"].dataType.simpleString()

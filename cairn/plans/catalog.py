@@ -136,6 +136,15 @@ def set_len(spark: SparkSession, d: str) -> DataFrame:
     return memtable.length(load(spark, d, "lineitem"), "l_orderkey")
 
 
+@query
+def mem_put(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, then nations, put into an empty log: sequences, tags and encoded records."""
+    regions, nations = load(spark, d, "region"), load(spark, d, "nation")
+    log = memtable.put(None, regions, "r_name", "r_name", "r_regionkey")
+    log = memtable.put(log, nations, "n_name", "n_name", "n_nationkey")
+    return log.select("k", "seq", "vtype", "tag", "v", F.octet_length("record").cast("long").alias("bytes"))
+
+
 @query
 def mem_usage(spark: SparkSession, d: str) -> DataFrame:
     return memtable.usage(load(spark, d, "customer"), "c_name", "c_mktsegment")
@@ -169,6 +178,16 @@ def sst_blocks_variable(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("block_id").cast("int").alias("block_id"), "base_key", "entries")
 
 
+@query
+def sst_point_get(spark: SparkSession, d: str) -> DataFrame:
+    """Every name and as many absent ones, through the sparse index and each block's filter."""
+    rows = ordered.row_numbers(load(spark, d, "customer").select(F.col("c_name").alias("k"), F.col("c_mktsegment").alias("v")), "k")
+    rows = rows.select("k", "v", F.floor(F.col("rn") / sst.per_block(ENTRY)).cast("long").alias("block_id"))
+    filters = bloom.block_filters(rows, "block_id", bloom.hash_bytes(F.col("k").cast("binary")))
+    names = rows.select(F.explode(F.array("k", F.concat("k", F.lit("x")))).alias("t"))
+    return sst.get(rows, sst.index(blocks(spark, d), ENTRY), filters, names, bloom.hash_bytes(F.col("t").cast("binary")))
+
+
 @query
 def sst_get_block(spark: SparkSession, d: str) -> DataFrame:
     return sst.block(blocks(spark, d), 1).select("k")
@@ -220,13 +239,20 @@ def bloom_sizing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cms_estimate(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "lineitem").where("l_orderkey < 100")
+    rows = load(spark, d, "lineitem")
     return policy.estimate(policy.sketch(rows, F.col("l_partkey"), 64), rows, "l_partkey", 64)
 
 
+@query
+def cms_estimate_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Rare keys in a sketch of 4096 counters a row."""
+    rows = load(spark, d, "lineitem")
+    return policy.estimate(policy.sketch(rows, F.col("l_orderkey"), 4096), rows, "l_orderkey", 4096)
+
+
 @query
 def lfu_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return policy.lfu_estimate(load(spark, d, "events").where("event_id < 1000"), "user_id")
+    return policy.lfu_estimate(load(spark, d, "events"), "user_id")
 
 
 @query
@@ -236,7 +262,7 @@ def lfu_victims(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lfu_halved(spark: SparkSession, d: str) -> DataFrame:
-    return policy.halve(policy.frequency(load(spark, d, "events").where("event_id < 1000"), "user_id"), "freq")
+    return policy.halve(policy.frequency(load(spark, d, "events"), "user_id"), "freq")
 
 
 @query
@@ -272,6 +298,40 @@ def cache_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.hits(load(spark, d, "events"), "user_id")
 
 
+@query
+def cache_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ratios(load(spark, d, "events"), "user_id")
+
+
+def sets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of a map in which three keys or so share each hash."""
+    return load(spark, d, "events").select((F.col("user_id") % 50).alias("h"), F.when(F.col("user_id") % 101 == 0, 0).otherwise(F.col("user_id") % 3 + 1).alias("conflict"), F.col("event_id").alias("seq"), F.col("value").alias("v"))
+
+
+@query
+def map_set(spark: SparkSession, d: str) -> DataFrame:
+    return cache.set_checked(sets(spark, d), "seq")
+
+
+@query
+def map_get(spark: SparkSession, d: str) -> DataFrame:
+    return cache.get_checked(cache.set_checked(sets(spark, d), "seq"), spark.range(60).select(F.col("id").alias("h"), (F.col("id") % 4).alias("conflict")))
+
+
+@query
+def map_remove(spark: SparkSession, d: str) -> DataFrame:
+    gone = spark.range(0, 50, 2).select(F.col("id").alias("h"), (F.col("id") % 4).alias("conflict"))
+    return cache.remove_checked(cache.set_checked(sets(spark, d), "seq"), gone)
+
+
+@query
+def ttl_clean(spark: SparkSession, d: str) -> DataFrame:
+    """What the sweep of one bucket evicts, five seconds after the last expiry."""
+    events = load(spark, d, "events")
+    last = events.agg(F.max(exp())).scalar()
+    return cache.cleaned(events, "user_id", "event_id", exp(), last + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(5)))
+
+
 @query
 def shard_histogram(spark: SparkSession, d: str) -> DataFrame:
     return cache.shard_sizes(load(spark, d, "orders"), "o_orderkey")
@@ -298,6 +358,12 @@ def policy_room(spark: SparkSession, d: str) -> DataFrame:
     return policy.room(load(spark, d, "part"), "p_partkey", "p_size", 1000)
 
 
+@query
+def policy_cost(spark: SparkSession, d: str) -> DataFrame:
+    parts = load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("cost"))
+    return policy.cost_of(parts.where("k % 2 = 0"), parts.select("k"))
+
+
 @query
 def cache_remove(spark: SparkSession, d: str) -> DataFrame:
     return cache.removed(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", load(spark, d, "lineitem"), "l_orderkey").select(F.col("o_orderkey").alias("k"))
@@ -339,6 +405,16 @@ def codec_fixed32(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("k", *(codec.byte_at(F.col("e"), i).alias(f"b{i}") for i in range(4)), codec.decode_fixed32(F.col("e")).alias("decoded"))
 
 
+@query
+def codec_read_exact(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "customer").select(F.col("c_name").alias("k"), codec.read_exact(F.col("c_name").cast("binary"), 9, 9).cast("string").alias("part"))
+
+
+@query
+def codec_cache_key(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lower(F.hex(codec.cache_key(F.col("o_orderkey")))).alias("cache_key"))
+
+
 @query
 def mem_entry_layout(spark: SparkSession, d: str) -> DataFrame:
     layout = codec.version_layout(F.col("c_name"), F.col("c_mktsegment"))
@@ -360,7 +436,7 @@ def mem_entry_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query
 def wal_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames of the documents' texts, a log per source."""
-    return wal.frames(load(spark, d, "documents"), "source", "doc_id", "text").drop("payload")
+    return wal.frames(load(spark, d, "documents"), "source", "doc_id", "text").drop("payload", "crc")
 
 
 @query
@@ -377,6 +453,14 @@ def wal_replay(spark: SparkSession, d: str) -> DataFrame:
     return found.select("log", "pos", "status", F.col("record").cast("string").alias("record"))
 
 
+@query
+def wal_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The logs written as files and read back as a stream, with their checksums."""
+    folder = fresh_dir(spark, "logs")
+    wal.write_files(load(spark, d, "documents"), "source", "doc_id", "text", folder).collect()  # a row a log
+    return versions.complete(wal.read_stream(spark, folder).select("status", F.col("record").cast("string").alias("record")), "wal-stream", mode="append")
+
+
 # --- policy and streams --------------------------------------------------------------------
 
 
@@ -396,13 +480,13 @@ def admission_replay(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def replay_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.of_replay(admission_replay(spark, d))
+    return metrics.of_replay(policy.replay(operations(spark, d), 4096, shards=16, gets=True))
 
 
 @query
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     stream = versions.read(spark, f"{d}/events.parque[t]", load(spark, d, "events").schema)
-    return versions.complete(versions.latest(stream, "user_id", "event_id", deleted(), "value"), "stream-latest")
+    return versions.upserted(versions.latest(stream, "user_id", "event_id", deleted(), "value"), "stream-latest", "k")
 
 
 @query
@@ -414,4 +498,11 @@ def stream_ttl(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_ttl_buckets(spark: SparkSession, d: str) -> DataFrame:
     stream = versions.read(spark, f"{d}/events.parque[t]", load(spark, d, "events").schema)
-    return versions.complete(versions.expiry_buckets(stream, exp()), "stream-buckets")
+    return versions.upserted(versions.expiry_buckets(stream, exp()), "stream-buckets", "bucket")
+
+
+@query
+def stream_evictions(spark: SparkSession, d: str) -> DataFrame:
+    """Entries evicted by timers on event time."""
+    stream = versions.read(spark, f"{d}/events.parque[t]", load(spark, d, "events").schema)
+    return versions.complete(versions.evictions(stream, "user_id", "event_id", "ts", exp()), "stream-evictions", mode="append")

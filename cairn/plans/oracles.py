@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+#: What a map keyed by a hash holds after sets with conflict hashes.
+MAP_SET = """WITH e AS (SELECT user_id % 50 AS h, CASE WHEN user_id % 101 = 0 THEN 0 ELSE user_id % 3 + 1 END AS conflict, event_id AS seq, value AS v FROM events), f AS (SELECT h, arg_min(conflict, seq) AS c, min(CASE WHEN conflict = 0 THEN seq END) AS z FROM e GROUP BY h) SELECT e.h, e.conflict, e.seq, e.v FROM e JOIN f USING (h) WHERE e.conflict = 0 OR (e.conflict = f.c AND (f.z IS NULL OR e.seq < f.z)) QUALIFY row_number() OVER (PARTITION BY e.h ORDER BY e.seq DESC) = 1"""
+
+#: Frames of the documents' texts, a log per source: one step a frame.
+FRAMES = """WITH RECURSIVE d AS (SELECT source AS log, doc_id AS pos, strlen(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE strlen(text) > 0), r AS (SELECT log, pos, n, rn, CAST(0 AS BIGINT) AS frag, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS off, CAST(least(n, 32761) AS BIGINT) AS len, CAST(least(n, 32761) AS BIGINT) AS done FROM d WHERE rn = 1 UNION ALL SELECT log, pos, n, rn, frag, CASE WHEN frag = 0 THEN off ELSE start END, off, len, before + len FROM (SELECT *, CAST(least(n - before, 32768 - off % 32768 - 7) AS BIGINT) AS len FROM (SELECT d.log, d.pos, d.n, d.rn, CASE WHEN r.done < r.n THEN r.frag + 1 ELSE 0 END AS frag, r.start, CASE WHEN r.done < r.n THEN r.done ELSE 0 END AS before, r.off + 7 + r.len + CASE WHEN 32768 - (r.off + 7 + r.len) % 32768 < 7 THEN 32768 - (r.off + 7 + r.len) % 32768 ELSE 0 END AS off FROM r JOIN d ON d.log IS NOT DISTINCT FROM r.log AND d.rn = r.rn + CASE WHEN r.done < r.n THEN 0 ELSE 1 END)))"""
+
 ORACLES: dict[str, str] = {
     # S-01,S-03,C-05,C-17,C-20
     "kv_scan": """SELECT c_name AS k, c_mktsegment AS v FROM customer""",
@@ -60,13 +66,15 @@ ORACLES: dict[str, str] = {
     # K-09,X-02,X-03
     "cache_metrics": """SELECT sum(CASE WHEN rn>1 THEN 1 ELSE 0 END)::BIGINT AS hits, sum(CASE WHEN rn=1 THEN 1 ELSE 0 END)::BIGINT AS misses, sum(CASE WHEN rn>1 THEN 1 ELSE 0 END)::DOUBLE/count(*) AS hit_ratio FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)""",
     # E-17..E-19
-    "cms_estimate": """WITH s AS (SELECT * FROM (VALUES (0,11),(1,22),(2,37),(3,56)) s(r,seed)), c AS (SELECT r, xor(CAST(l_partkey AS BIGINT), CAST(seed AS BIGINT)) & 63 AS b, least(count(*),15) AS c FROM lineitem, s WHERE l_orderkey < 100 GROUP BY 1,2) SELECT k, min(c.c) AS est FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_orderkey < 100) JOIN s ON true JOIN c ON c.r=s.r AND c.b = xor(CAST(k AS BIGINT), CAST(seed AS BIGINT)) & 63 GROUP BY k""",
+    "cms_estimate": """WITH s AS (SELECT * FROM (VALUES (0,11),(1,22),(2,37),(3,56)) s(r,seed)), c AS (SELECT r, xor(CAST(l_partkey AS BIGINT), CAST(seed AS BIGINT)) & 63 AS b, least(count(*),15) AS c FROM lineitem, s GROUP BY 1,2) SELECT k, min(c.c) AS est FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) JOIN s ON true JOIN c ON c.r=s.r AND c.b = xor(CAST(k AS BIGINT), CAST(seed AS BIGINT)) & 63 GROUP BY k""",
+    # E-17..E-19
+    "cms_estimate_orders": """WITH s AS (SELECT * FROM (VALUES (0,11),(1,22),(2,37),(3,56)) s(r,seed)), c AS (SELECT r, xor(CAST(l_orderkey AS BIGINT), CAST(seed AS BIGINT)) & 4095 AS b, least(count(*),15) AS c FROM lineitem, s GROUP BY 1,2) SELECT k, min(c.c) AS est FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) JOIN s ON true JOIN c ON c.r=s.r AND c.b = xor(CAST(k AS BIGINT), CAST(seed AS BIGINT)) & 4095 GROUP BY k""",
     # E-13,E-14,E-15
-    "lfu_estimate": """SELECT user_id AS k, least(count(*)-1,15)+1 AS est FROM events WHERE event_id < 1000 GROUP BY 1""",
+    "lfu_estimate": """SELECT user_id AS k, least(count(*)-1,15)+1 AS est FROM events GROUP BY 1""",
     # E-09
-    "lfu_victims": """SELECT user_id AS k, least(count(*)-1,15)+1 AS est FROM events WHERE event_id < 1000 GROUP BY 1 ORDER BY est, k LIMIT 5""",
+    "lfu_victims": """SELECT user_id AS k, least(count(*)-1,15)+1 AS est FROM events GROUP BY 1 ORDER BY est, k LIMIT 5""",
     # E-16,E-20
-    "lfu_halved": """SELECT user_id AS k, least(count(*)-1,15)>>1 AS freq FROM events WHERE event_id < 1000 GROUP BY 1""",
+    "lfu_halved": """SELECT user_id AS k, least(count(*)-1,15)>>1 AS freq FROM events GROUP BY 1""",
     # K-11
     "shard_histogram": """SELECT o_orderkey % 256 AS shard, count(*) AS n FROM orders GROUP BY 1""",
     # K-24
@@ -103,6 +111,34 @@ ORACLES: dict[str, str] = {
     "residency_histogram": """SELECT (epoch_us(nxt)-epoch_us(ts))//3600000000 AS hours, count(*) AS n FROM (SELECT ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY 1""",
     # K-17,K-12,E-21
     "cache_clear": """SELECT user_id AS k, max(event_id) AS seq, 'evict' AS event FROM events GROUP BY user_id""",
+    # M-01
+    "mem_put": """SELECT k, seq, 1 AS vtype, seq*256+1 AS tag, v, 16 + strlen(k) + strlen(v) AS bytes FROM (SELECT r_name AS k, row_number() OVER (ORDER BY r_regionkey) - 1 AS seq, r_name AS v FROM region UNION ALL SELECT n_name, (SELECT count(*) FROM region) + row_number() OVER (ORDER BY n_nationkey) - 1, n_name FROM nation)""",
+    # P-02,P-06,P-12
+    "sst_point_get": """SELECT p.t, c.c_name IS NOT NULL AS found, c.c_mktsegment AS v FROM (SELECT c_name AS t FROM customer UNION ALL SELECT c_name || 'x' FROM customer) p LEFT JOIN customer c ON c.c_name = p.t""",
+    # X-03,D-27
+    "cache_ratio": """SELECT hits, misses, hits::DOUBLE/(hits+misses) AS hit_ratio, hits::DOUBLE/misses AS hit_miss_ratio FROM (SELECT count(*) - count(DISTINCT user_id) AS hits, count(DISTINCT user_id) AS misses FROM events)""",
+    # K-12
+    "map_set": MAP_SET,
+    # K-13
+    "map_get": f"""SELECT p.h, p.conflict, m.seq, m.v FROM (SELECT range AS h, range % 4 AS conflict FROM range(60)) p LEFT JOIN ({MAP_SET}) m ON m.h = p.h AND (p.conflict = 0 OR p.conflict = m.conflict)""",
+    # K-15
+    "map_remove": f"""SELECT m.*, h % 2 = 0 AND (h % 4 = 0 OR h % 4 = conflict) AS removed FROM ({MAP_SET}) m""",
+    # K-20
+    "ttl_clean": """SELECT user_id AS k FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)=1) WHERE event_id%10<>0 AND epoch_us(ts + to_hours(event_id%10))//5000000 = (SELECT max(epoch_us(ts + to_hours(event_id%10))) FROM events WHERE event_id%10<>0)//5000000""",
+    # E-05
+    "policy_cost": """SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE -1 END AS cost FROM part""",
+    # F-07,S-23
+    "codec_read_exact": """SELECT c_name AS k, substr(c_name, 10, 9) AS part FROM customer""",
+    # F-11
+    "codec_cache_key": """SELECT o_orderkey AS k, printf('%02x%02x%02x%02x%02x%02x%02x%02x', o_orderkey & 255, (o_orderkey>>8) & 255, (o_orderkey>>16) & 255, (o_orderkey>>24) & 255, (o_orderkey>>32) & 255, (o_orderkey>>40) & 255, (o_orderkey>>48) & 255, (o_orderkey>>56) & 255) || repeat('00', 8) AS cache_key FROM (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders)""",
+    # S-15..S-17
+    "wal_frames": f"""{FRAMES} SELECT log, pos, CAST(frag AS INTEGER) AS frag, start AS "begin", off, CAST(CASE WHEN frag = 0 AND done = n THEN 1 WHEN frag = 0 THEN 2 WHEN done = n THEN 4 ELSE 3 END AS INTEGER) AS typ, CAST(len AS INTEGER) AS len FROM r""",
+    # S-18,S-22
+    "wal_checksum": f"""{FRAMES} SELECT log, pos, CAST(frag AS INTEGER) AS frag, true AS intact FROM r""",
+    # S-20,S-21
+    "wal_stream": """SELECT 'OK' AS status, text AS record FROM documents WHERE strlen(text) > 0""",
+    # K-04,K-10,K-18
+    "stream_evictions": """SELECT user_id AS k, event_id AS seq FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)=1) WHERE event_id%10<>0 AND epoch_ms(ts + to_hours(event_id%10)) < (SELECT epoch_ms(max(ts)) FROM events)""",
 }
 
 # queries with the result of another one, by another way

@@ -8,17 +8,21 @@ parallel, each streamed in order with its offset as the only state.
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import codec
 from cairn.session import ship
 
+#: Fixed values of the format: block and header sizes, fragment types.
 BLOCK, HEADER = 32_768, 7
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
 
@@ -89,7 +93,7 @@ def read_log(data: bytes, block: int = BLOCK, verify: bool = True) -> Iterator[t
 
 
 def frames(df: DataFrame, log: str, pos: str, record: str, block: int = BLOCK, offset: int = 0) -> DataFrame:
-    """``log, pos, frag, off, typ, len, crc, payload`` for the records of each log in order of ``pos``."""
+    """``log, pos, frag, begin, off, typ, len, crc, payload`` for the records of each log in order of ``pos``; ``begin``: the offset of a record's first frame."""
     ship(df.sparkSession)
     rows = df.select(F.col(log).cast("string").alias("log"), F.col(pos).cast("long").alias("pos"), F.col(record).cast("binary").alias("record"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -103,16 +107,17 @@ def frames(df: DataFrame, log: str, pos: str, record: str, block: int = BLOCK, o
                 if name != current:
                     current, at = name, offset
                 parts, end = split_record(data or b"", at, block)
+                begin = at + parts[0][0] if parts else at
                 for i, (padding, kind, payload) in enumerate(parts):
                     at += padding
-                    out.append((name, where, i, at, kind, len(payload), masked(bytes([kind]) + payload), payload))
+                    out.append((name, where, i, begin, at, kind, len(payload), masked(bytes([kind]) + payload), payload))
                     at += HEADER + len(payload)
                 at = end
             if out:
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["log", "pos", "frag", "off", "typ", "len", "crc", "payload"])
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["log", "pos", "frag", "begin", "off", "typ", "len", "crc", "payload"])
 
-    return rows.mapInArrow(run, "log string, pos long, frag int, off long, typ int, len int, crc long, payload binary")
+    return rows.mapInArrow(run, "log string, pos long, frag int, begin long, off long, typ int, len int, crc long, payload binary")
 
 
 def intact(typ: Column, payload: Column, crc: Column) -> Column:
@@ -124,14 +129,12 @@ def intact(typ: Column, payload: Column, crc: Column) -> Column:
 def replay(frames_: DataFrame, strict: bool = False) -> DataFrame:
     """``log, pos, status, record``: records put together from their frames.
 
-    A record begins at each full or first frame.  Status CORRUPT: a frame's checksum fails;
+    Frames name their record's first one, so records of one log are put together in parallel.  Status CORRUPT: a frame's checksum fails;
     TRUNCATED: the last frame is missing.  ``strict`` raises on a corrupt record.
     """
-    begin = F.col("typ").isin(FULL, FIRST).cast("long")
-    number = F.sum(begin).over(Window.partitionBy("log").orderBy("off"))
     ok = intact(F.col("typ"), F.col("payload"), F.col("crc"))
-    rows = frames_.select("log", "pos", "off", "typ", "payload", ok.alias("ok"), number.alias("number"))
-    whole = rows.groupBy("log", "number").agg(
+    rows = frames_.select("log", "pos", "begin", "off", "typ", "payload", ok.alias("ok"))
+    whole = rows.groupBy("log", "begin").agg(
         F.min("pos").alias("pos"),
         F.min("ok").alias("ok"),
         F.max(F.col("typ").isin(FULL, LAST)).alias("ended"),
@@ -144,8 +147,56 @@ def replay(frames_: DataFrame, strict: bool = False) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, block: int = BLOCK, verify: bool = True) -> DataFrame:
     """``path, pos, status, record`` of log files, through Spark's binary file reader."""
-    ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return _records(spark.read.format("binaryFile").load(path), block, verify)
+
+
+def read_stream(spark: SparkSession, path: str, block: int = BLOCK, verify: bool = True, max_files: int | None = None) -> DataFrame:
+    """The same for a folder of log files as a stream: each micro-batch has the records of files that came since."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return _records((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path), block, verify)
+
+
+def write_files(df: DataFrame, log: str, pos: str, record: str, folder: str, block: int = BLOCK) -> DataFrame:
+    """Write each log of :func:`frames` to a file of its own in ``folder`` (a file or Hadoop URI); ``log, path, bytes``.
+
+    A file is written under an attempt's name and moved, so a retried task leaves whole files only.
+    """
+    ship(df.sparkSession)
+    rows = frames(df, log, pos, record, block).select("log", "off", "typ", "crc", "payload")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "log").sortWithinPartitions("log", "off")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = pafs.FileSystem.from_uri(folder)
+        system.create_dir(top, recursive=True)
+        current, sink, at, done = None, None, 0, []
+
+        def close() -> None:
+            sink.close()
+            final = f"{top}/{hashlib.sha256((current or '').encode()).hexdigest()[:24]}.log"
+            system.move(partial, final)
+            done.append((current, final, at))
+
+        for batch in batches:
+            for name, off, typ, crc, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sink is None or name != current:
+                    if sink is not None:
+                        close()
+                    current, at, partial = name, 0, f"{top}/.{uuid.uuid4().hex}.part"
+                    sink = system.open_output_stream(partial)
+                sink.write(b"\x00" * (off - at) + struct.pack("<IHB", crc, len(payload), typ) + payload)
+                at = off + HEADER + len(payload)
+        if sink is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["log", "path", "bytes"])
+
+    return rows.mapInArrow(run, "log string, path string, bytes long")
+
+
+def _records(files: DataFrame, block: int, verify: bool) -> DataFrame:
+    ship(files.sparkSession)
+    files = files.select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 """Golden values and scenarios of byte layouts, logs, filters, sketches, cursors and the policy."""
 
+import random
 import zlib
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions import codec
 from cairn.operators import bloom, cache, memtable, metrics, ordered, policy, sst
 from cairn.sources import wal
+from cairn.streaming import versions
 
 KV26 = [f"ab{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
 
@@ -197,3 +199,127 @@ def test_expiry_boundaries(spark):
     now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     rows = {r["k"]: (r["live"], r["b"]) for r in df.select("k", cache.is_live(F.col("exp"), now).alias("live"), cache.storage_bucket(F.col("exp")).alias("b")).collect()}
     assert rows[1][0] and rows[2][0] and rows[3] == (True, None) and rows[1][1] == rows[2][1]
+
+
+def plain_replay(ops, max_cost, counters=10_000):
+    """Admission by lists and full scans, apart from the operator's own state."""
+    held, seen, often, total, out = {}, set(), {}, 0, []
+    for seq, op, key, cost in sorted(ops):
+        rank = lambda k: often.get(k, 0) + (k in seen)  # noqa: E731, B023
+        if op == "access":
+            out.append((seq, key, "hit" if key in held else "miss", 0))
+            if key in seen:
+                often[key] = min(15, often.get(key, 0) + 1)
+            seen.add(key)
+            total += 1
+            if total == counters:
+                total, seen, often = 0, set(), {k: n // 2 for k, n in often.items()}
+        elif op == "remove":
+            if key in held:
+                out.append((seq, key, "remove", held.pop(key)))
+        elif cost > max_cost:
+            out.append((seq, key, "reject", cost))
+        elif key in held:
+            held[key] = cost
+            out.append((seq, key, "update", cost))
+        else:
+            while sum(held.values()) + cost > max_cost and rank(key) >= min(rank(k) for k in held):
+                gone = min(held, key=lambda k: (rank(k), k))
+                out.append((seq, gone, "evict", held.pop(gone)))
+            if sum(held.values()) + cost > max_cost:
+                out.append((seq, key, "reject", cost))
+            else:
+                held[key] = cost
+                out.append((seq, key, "admit", cost))
+    return out
+
+
+def test_replay_matches_a_plain_one(spark):
+    rng = random.Random(2)
+    ops = []
+    for seq in range(4000):
+        kind = rng.choice(["access"] * 6 + ["add"] * 5 + ["remove"])
+        ops.append((seq, kind, min(int(rng.expovariate(0.05)), 150), rng.randint(1, 130) if kind == "add" else 0))
+    df = spark.createDataFrame(ops, "seq long, op string, key long, cost long")
+    for shards in (1, 3):
+        found = policy.replay(df, 300, shards, gets=True).collect()
+        for s in range(shards):
+            want = plain_replay([o for o in ops if o[2] % shards == s], 300 // shards)
+            assert sorted((r["seq"], r["event"] != "evict", r["key"], r["event"], r["cost"]) for r in found if r["shard"] == s) == sorted((q, e != "evict", k, e, c) for q, k, e, c in want)
+    counts = {r["metric"]: r["value"] for r in metrics.of_replay(policy.replay(df, 300, 1, gets=True)).collect()}
+    want = plain_replay(ops, 300)
+    assert counts["hit"] == sum(e == "hit" for _, _, e, _ in want) and counts["miss"] == sum(e == "miss" for _, _, e, _ in want) > 0
+    assert counts["gets-kept"] == (counts["hit"] + counts["miss"]) // 64 * 64 and counts["gets-dropped"] == counts["sets-dropped"] == 0
+    state = policy.Admission(300, 50)  # halving now and then
+    for _, op, key, cost in ops:
+        if op == "access":
+            state.access(key)
+        elif op == "add":
+            state.add(key, cost)
+        assert state.used == sum(state.residents.values())  # an update may go beyond the limit
+
+
+def test_checked_map_matches_a_plain_one(spark):
+    rng = random.Random(4)
+    ops = [(rng.randrange(12), rng.choice([0, 1, 2, 2, 2]) if i > 100 else rng.choice([1, 2]), i, f"v{i}") for i in range(300)]
+    held = {}
+    for h, c, i, v in ops:
+        if h not in held or not c or held[h][0] == c:
+            held[h] = (c, i, v)
+    df = spark.createDataFrame(ops, "h long, conflict long, seq long, v string")
+    for part in (ops, ops[:90]):
+        held = {}
+        for h, c, i, v in part:
+            if h not in held or not c or held[h][0] == c:
+                held[h] = (c, i, v)
+        assert {r["h"]: (r["conflict"], r["seq"], r["v"]) for r in cache.set_checked(df.where(F.col("seq") < len(part)), "seq").collect()} == held
+    two = cache.hashed(spark.createDataFrame([("a",), ("b",)], "k string"), "k", integral=False).collect()
+    assert two[0]["h"] != two[1]["h"] and two[0]["conflict"] != two[1]["conflict"] and all(r["conflict"] for r in two)
+
+
+def test_filter_edges(spark):
+    def match(h, data):
+        return spark.range(1).select(bloom.matches(F.lit(h).cast("long"), F.unhex(F.lit(data))).alias("m")).first()["m"]
+
+    assert match(5, "") is False and match(5, "06") is False and match(5, "00" * 8 + "1F") is True and match(5, "00" * 8 + "06") is False and match(5, "FF" * 8 + "06") is True
+    rows = spark.range(1000).select((F.col("id") % 7).alias("b"), F.col("id").alias("k"))
+    filters = {r["b"]: bytes(r["filter"]) for r in bloom.block_filters(rows, "b", bloom.hash_int32(F.col("k"))).collect()}
+    hashes = {r["k"]: r["h"] for r in rows.select("k", bloom.hash_int32(F.col("k")).alias("h")).collect()}
+    assert filters == {b: reference_filter([hashes[k] for k in range(1000) if k % 7 == b]) for b in range(7)}
+
+
+def test_positions_of_many_partitions(spark):
+    """Hot keys, empty partitions, nulls: previous rows, running sums and as-of reads match plain ones."""
+    rng = random.Random(6)
+    rows = sorted((rng.choice(["a"] * 20 + ["b", "c", "dd"]), i, rng.choice([None, 1, 5])) for i in range(400))
+    df = spark.createDataFrame(rows, "k string, seq long, v long").repartition(5)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        found = {r["seq"]: r["old_v"] for r in memtable.previous_value(df, "k", "seq", "v").collect()}
+        assert found == {b[1]: a[2] if a is not None and a[0] == b[0] else None for a, b in zip([None, *rows], rows, strict=False)}
+        sums = {r["seq"]: r["s"] for r in ordered.running_sum(df, F.col("v"), "k", "seq", out="s").collect()}
+        total, want = 0, {}
+        for _, i, v in rows:
+            total += v or 0
+            want[i] = total
+        assert sums == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_log_stream(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for name in "ab":
+        (tmp_path / "logs" / f"{name}.log").write_bytes(wal.write_log([name.encode() * 50_000, b"end"]))
+    rows = versions.complete(wal.read_stream(spark, f"file://{tmp_path}/logs", max_files=1), "test-logs", mode="append").collect()
+    assert sorted((r["status"], bytes(r["record"])[:3], len(r["record"])) for r in rows) == [("OK", b"aaa", 50_000), ("OK", b"bbb", 50_000), ("OK", b"end", 3), ("OK", b"end", 3)]
+
+
+def test_put_continues_a_log(spark):
+    one = memtable.put(None, spark.createDataFrame([("a", "x", 2), ("b", None, 1)], "k string, v string, at long"), "k", "v", "at")
+    two = memtable.put(one, spark.createDataFrame([("a", None, 1)], "k string, v string, at long"), "k", "v", "at")
+    rows = {r["seq"]: (r["k"], r["vtype"], r["tag"], bytes(r["record"])) for r in two.collect()}
+    assert {s: r[:3] for s, r in rows.items()} == {0: ("b", 0, 0), 1: ("a", 1, 257), 2: ("a", 0, 512)}
+    back = two.select(codec.decode_version(F.col("record")).alias("e")).select("e.*").collect()
+    assert sorted((r["seq"], bytes(r["key"]), r["kind"], bytes(r["value"])) for r in back) == [(0, b"b", 0, b""), (1, b"a", 1, b"x"), (2, b"a", 0, b"")]
