@@ -7,9 +7,11 @@ summed by source and by the leading ``BITS`` bits of the hash; the bucket in whi
 is the only one that is summed again, by the next ``BITS`` bits, and so on.  Documents are never
 sorted, thresholds are nested (a larger budget takes a superset) and reruns agree.
 
-Defined results.  Null text: size 0.  Null source: a source of its own, last in order.  Rows that
-are equal in id and text share a hash and are taken together.  A source without words has target 0
-and takes nothing.  Empty table: empty result.
+Defined results.  Null text: size 0.  Null source: a source of its own, last in order.  Of rows that
+are equal in id, source and text each gets a hash of its own, so a large group of them is taken in
+part as other documents are; which of them does not matter.  A source without words has target 0 and
+takes nothing.  Very long texts are read whole; one document is the least that can be taken.  Empty
+table: empty result.  Other columns are ignored by :func:`taken` and kept by :func:`sample`, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import materialize
+from cairn.llm.shared import discard, materialize
+from cairn.operators import ordered
 
 BITS, LEVELS = 12, 4
 WEIGHTS = (3, 1, 2)
@@ -25,7 +28,7 @@ WEIGHTS = (3, 1, 2)
 
 def words(text: str) -> Column:
     """Number of words divided by ASCII white space."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
@@ -57,12 +60,42 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("src", "source_size", "weight", target.alias("target"))
 
 
-def row_hash(key: list[str], text: str) -> Column:
-    """The leading 48 bits of the MD5 of a row's key and text: BITS * LEVELS bits that SQL can compute too."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*key, text)]
+def _hash(*parts: Column) -> Column:
+    """The leading 48 bits of the MD5 of the parts: BITS * LEVELS bits that SQL can compute too."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
+def row_hash(key: list[str], text: str) -> Column:
+    return _hash(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (*key, text)))
+
+
+def told_apart(rows: DataFrame, same: list[str], hashed: str) -> DataFrame:
+    """``rows`` with a hash of its own for each of those that agree in ``same`` and their hash.
+
+    Only repeated rows move.  They are numbered in a global order that ends with a number of the
+    row, so a large group is spread over the partitions.
+    """
+    names = [*same, hashed]
+    groups = materialize(rows.groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.count("*").alias("__cairn_n")).where("__cairn_n > 1").toDF(*(f"__cairn_g{i}" for i in range(len(names))), "__cairn_n"), "mixing-repeated")
+    if groups.isEmpty():
+        discard(groups)
+        return rows
+
+    def agree(right: str) -> Column:
+        found = F.lit(True)
+        for i, c in enumerate(names):
+            found = found & F.col(f"`{c}`").eqNullSafe(F.col(f"{right}{i}"))
+        return found
+
+    repeated = rows.join(groups, agree("__cairn_g"), "left_semi").withColumn("__cairn_tie", F.monotonically_increasing_id())
+    placed = materialize(ordered.row_numbers(repeated, *(F.col(f"`{c}`") for c in names), "__cairn_tie", out="__cairn_at"), "mixing-placed")
+    first = placed.groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.min("__cairn_at").alias("__cairn_first")).toDF(*(f"__cairn_f{i}" for i in range(len(names))), "__cairn_first")
+    turn = F.col("__cairn_at") - F.col("__cairn_first")
+    own = F.when(turn == 0, F.col(hashed)).otherwise(_hash(F.col(hashed).cast("string"), turn.cast("string")))
+    apart = placed.join(first, agree("__cairn_f")).withColumn(hashed, own).select(*(F.col(f"`{c}`") for c in rows.columns))
+    return rows.join(groups, agree("__cairn_g"), "left_anti").unionByName(apart)
+
+
 def _prefix(level: int) -> Column:
     """The leading bits of the hash up to and with ``level`` (from 1)."""
     return F.shiftright("hash", BITS * (LEVELS - level))
@@ -113,12 +146,15 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
 def mix(df: DataFrame, key: list[str], source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """``(per document, per source)``.
 
-    Per document: ``key`` columns, ``src, size, hash``.  Per source: ``src, source_size, target,
+    Per document: ``key`` columns as ``key0, key1, ...``, and ``src, size, hash``.  Per source: ``src, source_size, target,
     whole, below``; small (one row a source) and stored, so a join with it is broadcast by Spark
     if its size allows.
     """
-    slim = df.select(*key, F.col(source).alias("src"), words(text).alias("size"), row_hash(key, text).alias("hash"))
+    keys = [f"key{i}" for i in range(len(key))]
+    slim = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(key, keys, strict=True)), F.col(f"`{source}`").alias("src"), words(text).alias("size"), row_hash(key, text).alias("hash"))
     slim = materialize(slim, "mixing-slim")
+    whole, slim = slim, told_apart(slim, [*keys, "src"], "hash")
+    slim = slim if slim is whole else materialize(slim, "mixing-slim")
     goals = materialize(targets(slim.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, limit), "mixing-goals")
     bounds = thresholds(slim, goals).withColumnRenamed("src", "s")
     per_source = goals.join(bounds, F.col("src").eqNullSafe(F.col("s"))).drop("s", "weight")
@@ -134,14 +170,14 @@ def taken(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     """Per document: id, ``size, source_size, target, taken``."""
     slim, per_source = mix(df, [id_col], source, text)
     rows = slim.join(per_source.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")))
-    return rows.select(id_col, "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
+    return rows.select(F.col("key0").alias(id_col), "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
 
 
 def sample(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed rows of ``df``: each as often as it is taken, columns unchanged."""
     _, per_source = mix(df, [id_col], source, text)
     per_source = per_source.select(F.col("src").alias("__cairn_src"), "whole", "below").toDF("__cairn_src", "__cairn_whole", "__cairn_below")
-    rows = df.withColumn("__cairn_hash", row_hash([id_col], text))
-    rows = rows.join(per_source, F.col(source).eqNullSafe(F.col("__cairn_src")))
+    rows = told_apart(df.withColumn("__cairn_hash", row_hash([id_col], text)), [id_col, source], "__cairn_hash")
+    rows = rows.join(per_source, F.col(f"`{source}`").eqNullSafe(F.col("__cairn_src")))
     n = times("__cairn_hash", "__cairn_whole", "__cairn_below")
     return rows.withColumn("__cairn_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*(F.col(f"`{c}`") for c in df.columns))

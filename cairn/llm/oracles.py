@@ -6,12 +6,16 @@ from cairn.llm.mixing import BITS, LEVELS
 
 #: Targets: the level of the sources below their limit is that of the first prefix of sources (in the
 #: order of limit by weight) whose next member stays below its own.  Documents: in the order of
-#: their hashes (equal ones together) while the budget lasts; the one it ends in if that is nearer.
+#: their hashes, repeated rows by one of their own each, while the budget lasts; the one it ends in if that is nearer.
 MIXING = f"""
-WITH docs AS (
+WITH plain AS (
   SELECT doc_id, source AS src, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, {BITS * LEVELS // 4}))::BIGINT AS hash
   FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, src, hash) - 1 AS turn FROM plain
+), docs AS (
+  SELECT doc_id, src, size, CASE WHEN turn = 0 THEN hash ELSE ('0x' || substr(md5(hash::VARCHAR || ':' || turn::VARCHAR), 1, {BITS * LEVELS // 4}))::BIGINT END AS hash FROM numbered
 ), sizes AS (
   SELECT src, sum(size)::BIGINT AS source_size FROM docs GROUP BY src
 ), weighed AS (

@@ -63,4 +63,20 @@ def test_empty_tables_and_repeated_rows(spark):
     assert M.taken(spark.createDataFrame([], schema)).collect() == [] and M.sample(spark.createDataFrame([], schema)).collect() == []
     rows = [(1, "a b", "s", "", 1, 1)] * 5 + [(None, None, None, None, None, None)] * 2
     out = M.taken(spark.createDataFrame(rows, schema)).collect()
-    assert len(out) == 7 and len({tuple(r) for r in out}) == 2 and {r["taken"] for r in out if r["doc_id"] is None} == {0}
+    assert len(out) == 7 and {r["taken"] for r in out if r["doc_id"] is None} == {0}
+    assert sum(r["taken"] for r in out) in (14, 16) and {r["taken"] for r in out if r["doc_id"]} == {2, 4}  # 15 of 10 words
+
+
+def test_a_large_group_of_repeated_rows_is_taken_in_part(spark):
+    rows = [(7, "a b c", "s", i % 3, "x", 0) for i in range(600)] + [(i, "a b c", "t", 0, "", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "src long, text string, source string, size int, hash string, key0 int")
+    for at in (M.taken(df, "src"), M.taken(df.repartition(9), "src")):
+        out = at.collect()
+        takes = defaultdict(int)
+        for r in out:
+            takes["s" if r["src"] == 7 and r["source_size"] == 1800 else "t"] += r["taken"]
+            target = {r["source_size"]: r["target"]}
+        assert len(out) == 900 and abs(takes["s"] - next(r["target"] for r in out if r["source_size"] == 1800)) <= 6
+        assert len({r["taken"] for r in out if r["source_size"] == 1800}) == 2 and target
+    mixed = M.sample(df, "src").collect()
+    assert abs(3 * sum(r["source"] == "s" for r in mixed) - takes["s"]) == 0 and mixed[0].asDict().keys() == {"src", "text", "source", "size", "hash", "key0"}
