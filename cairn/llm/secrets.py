@@ -3,12 +3,13 @@
 A text is scanned by the three base rules and then unwrapped: every URL-escaped, Unicode-escaped
 or base64 run becomes a layer of its own, base64 bytes that are compressed are inflated first, and
 each layer is scanned and unwrapped again until no layer is new.  Layers that were met before (by
-content) are not entered again, which ends cycles.  A finding in a layer is mapped to the span of
+content) are not entered again, which ends cycles.  Escapes that are nested more than ``STEPS`` deep
+are decoded to their end in one pass, so a long chain of them costs no more than its length.  A finding in a layer is mapped to the span of
 the run in the original text that held it; for escape layers, which keep positions, to the exact
 characters.
 
-Defined results.  Null or empty text: no finding.  Repeated rows: equal results.  Empty table:
-empty result.  Other columns are kept by :func:`redact` and not read by :func:`scan`.  Inflated
+Defined results.  Null or empty text: no finding.  Repeated rows: equal results.  Very long texts are
+scanned whole, and so is each layer.  Empty table: empty result.  Other columns are kept by :func:`redact` and not read by :func:`scan`.  Inflated
 data of any size are read to their end, all members of them, in windows of ``WINDOW`` bytes that
 overlap by half, so a decompression bomb takes time but no memory.  Only a secret or run of over
 half a window may be read in parts.
@@ -36,6 +37,8 @@ from cairn.llm.shared import ship
 KINDS = ("assign", "access", "hex")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 WINDOW, CHUNK = 1 << 24, 1 << 20
+#: Escape layers that are unwrapped one by one; deeper nesting is decoded to its end in one pass.
+STEPS = 4
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _assign_hint = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.IGNORECASE | re.ASCII)
@@ -49,6 +52,8 @@ _break = r"(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*"
 _wrapped = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+{_break}[A-Za-z0-9+/_-]{{4,}}=*(?:{_break}[A-Za-z0-9+/_-]+=*)*")
 _line = re.compile(rf"([A-Za-z0-9+/_-]+=*)(?:{_break})?")
 _byte_escape = re.compile(r"""\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|u\{0*[0-9A-Fa-f]{1,2}\}|U000000[0-9A-Fa-f]{2}|[0nrtabfv'"\\])""")
+_braced = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}$")
+_HEX = frozenset("0123456789abcdefABCDEF")
 _simple = {"0": "\0", "n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 _packed = re.compile(r"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
@@ -72,14 +77,19 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _printable(data: bytes) -> str | None:
-    """The bytes as text if they are text."""
+def _as_text(data: bytes) -> str:
+    """Bytes as text; those that are no UTF-8 as they are."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    bad = sum(1 for c in text if c < " " and c not in "\t\n\r\f\v")
-    return text if text and 10 * bad <= len(text) else None
+        return data.decode("latin-1")
+
+
+def _damaged() -> tuple[type[Exception], ...]:
+    """What the decompressors raise at data that they can't read."""
+    import zstandard
+
+    return zlib.error, lzma.LZMAError, OSError, EOFError, ValueError, zstandard.ZstdError
 
 
 def _reader(data: bytes | memoryview):
@@ -120,9 +130,7 @@ def _chunks(data: bytes | memoryview, used: list[int]) -> Iterator[bytes]:
                 while fed < total and not reader.eof:
                     step, fed = fed, min(total, fed + (1 << 10))
                     yield reader.decompress(data[step:fed])
-        except (MemoryError, ImportError):
-            raise
-        except Exception:  # noqa: BLE001
+        except _damaged():
             used[0] = max(used[0], total if at == 0 else at)
             return
         at = used[0] = fed - len(reader.unused_data)
@@ -197,6 +205,40 @@ def _unicode_layer(text: str) -> tuple[str, np.ndarray] | None:
     return joined, where
 
 
+def _escape_end(out: list[str]) -> tuple[int, int] | None:
+    """Length and code of the escape that ends the characters, if one does."""
+    last = out[-1]
+    if last == "}":
+        tail = "".join(out[-10:])
+        m = _braced.search(tail)
+        return (len(m[0]), int(m[1], 16)) if m and int(m[1], 16) <= 0x10FFFF else None
+    if last not in _HEX:
+        return None
+    if len(out) > 2 and out[-3] == "%" and out[-2] in _HEX:
+        return 3, int(out[-2] + last, 16)
+    for n, mark in ((4, "x"), (6, "u"), (10, "U")):
+        if len(out) >= n and out[-n] == "\\" and out[1 - n] == mark and all(c in _HEX for c in out[2 - n :]):
+            code = int("".join(out[2 - n :]), 16)
+            return (n, code) if code <= 0x10FFFF else None
+    return None
+
+
+def _all_escapes(text: str) -> tuple[str, np.ndarray]:
+    """Escapes within escapes, however deep, in one pass: what a decoded character completes is decoded too."""
+    out: list[str] = []
+    where: list[int] = []
+    for i, c in enumerate(text):
+        out.append(c)
+        where.append(i)
+        while found := _escape_end(out):
+            n, code = found
+            begin = where[-n]
+            del out[-n:], where[-n:]
+            out.append(chr(code))
+            where.append(begin)
+    return "".join(out), np.array([*where, len(text)], dtype=np.int64)
+
+
 def _embedded(text: str) -> Iterator[tuple[int, int, str]]:
     """Compressed bytes written with URL or byte escapes, and the span of each."""
     ways = []
@@ -258,8 +300,8 @@ def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
 def _base64_layers(text: str) -> Iterator[tuple[int, int, str]]:
     for start, end, run in _base64_runs(text):
         raw = run.rstrip("=")
-        if len(raw) % 4 == 1 or raw.isalpha() and (raw.islower() or raw.istitle()):
-            continue  # no length of base64, or an ordinary word
+        if len(raw) % 4 == 1:  # no length of base64: the last character belongs to something else
+            raw = raw[:-1]
         url_safe = "-" in raw or "_" in raw
         try:
             data = base64.b64decode(raw + "=" * (-len(raw) % 4), altchars=b"-_" if url_safe else None, validate=True)
@@ -268,9 +310,7 @@ def _base64_layers(text: str) -> Iterator[tuple[int, int, str]]:
         if _reader(data) is not None:
             for inner in _unpacked(data, [0], set()):
                 yield start, end, inner
-        new = _printable(data)
-        if new is not None:
-            yield start, end, new
+        yield start, end, _as_text(data)
 
 
 def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[Finding]]:
@@ -296,7 +336,11 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[Findin
                 if (a, kind, b) not in have:
                     more.setdefault((a, kind, b), path)
         found: list[tuple[str, np.ndarray | None, tuple[int, int], tuple[str, ...]]] = []
-        for name, hint, unwrap in (("url", _url, _url_layer), ("unicode", _unicode, _unicode_layer)):
+        steps = sum(x in ("url", "unicode") for x in path)
+        ways = (("url", _url, _url_layer), ("unicode", _unicode, _unicode_layer))
+        if steps >= STEPS:
+            ways = tuple((n, h, _all_escapes) for n, h, _ in ways)
+        for name, hint, unwrap in ways:
             if ("%" if name == "url" else "\\") in layer and hint.search(layer) and (x := unwrap(layer)):
                 inner, inner_where = x
                 if where is not None:
