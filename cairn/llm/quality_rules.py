@@ -7,8 +7,8 @@ for 5 to 10 the characters inside any n-gram that occurred before, each characte
 measure exceeds its limit as a share of all characters in words.
 
 Defined results.  Null, empty or white text: zeros, fails the base (fewer than 50 words).
-Documents are judged alone, so repeated rows get equal results.  Empty table: empty result.  Other
-columns are not read.
+Documents are judged alone, so repeated rows get equal results, and very long texts are measured
+whole.  Empty table: empty result.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ suffixes of equal beginnings:
    hash (the leftmost of equals), which depends on the string only; so equal strings have equal
    anchors.  An anchor stands for a run of neighbouring strings, its context.
 2. Anchors that occur once are dropped (a count per hash with map-side combining).
-3. Contexts that occur more than once, byte for byte, are whole matches; each is looked at once,
-   at its first place, whatever the number of copies.
+3. Contexts that occur more than once, by anchor and a 64-bit hash each, are whole matches; each is
+   looked at once, at its first place, whatever the number of copies.
 4. The different contexts of an anchor are put into one text, in the order of their places, and
    its LPF arrays are made.  An anchor with more than ``BUCKET`` different contexts is not put into
    one text: its strings are dealt by their own 128-bit hashes, in stretches first, and counted
@@ -23,8 +23,9 @@ suffixes of equal beginnings:
 Hashes that select candidates and identify contexts have 64 + 64 bits of different polynomials.
 
 Defined results.  Null or empty text: nothing to remove.  A repeated row is a copy like any other.
-Matches never cross rows.  Empty table: empty result.  Other columns are kept.  Row ids come from
-the place of a row in its stored table, which must not change while the query runs.
+Matches never cross rows.  Very long texts are read whole, in steps of bounded size.  Empty table:
+empty result.  Other columns are kept.  Rows are stored once with their numbers, so an input that
+comes in another order at each evaluation does no harm.
 """
 
 from __future__ import annotations

@@ -22,8 +22,8 @@ its final name, so a retried task leaves whole files only.  Sizes in the manifes
 document's ``start``.
 
 Defined results.  Null text: empty, so the end id alone.  Null id: first.  Repeated ids: one entry
-each, in the order of their texts' hashes.  Empty table: no shard, empty result.  Strings of special tokens in a
-text are ordinary text.
+each, in the order of their texts' hashes.  Very long texts are one entry in a block of its own.  Empty table: no
+shard, empty result.  Other columns are not read.  Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
