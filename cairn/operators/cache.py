@@ -96,6 +96,13 @@ def batches(df: DataFrame, order: str, size: int = BATCH) -> DataFrame:
     return full.where(F.col("n") == size)
 
 
+def gets(df: DataFrame, order: str, size: int = BATCH) -> DataFrame:
+    """``kept, dropped, waiting`` accesses: those of full batches reach the policy, the rest waits; a table drops none."""
+    total = df.agg(F.count(order).alias("n"))
+    kept = (F.floor(F.col("n") / size) * size).cast("long")
+    return total.select(kept.alias("kept"), F.lit(0).cast("long").alias("dropped"), (F.col("n") - kept).alias("waiting"))
+
+
 def seen_before(df: DataFrame, key: str, seq: str) -> DataFrame:
     """``seq, k, seen``: whether a key was accessed before.
 

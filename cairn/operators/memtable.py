@@ -24,6 +24,11 @@ def add(log: DataFrame, more: DataFrame) -> DataFrame:
     return log.unionByName(more)
 
 
+def load(table: DataFrame, key: str, value: str, seq: int = 0) -> DataFrame:
+    """A sorted table's entries as versions ``k, seq, vtype, tag, v``, all of one sequence: what is put later is newer."""
+    return versions(table.withColumn("_seq", F.lit(seq).cast("long")), key, "_seq", F.lit(False), value)
+
+
 def newest(df: DataFrame, key: str, seq: str, **columns: Column) -> DataFrame:
     """``k, seq`` and ``columns`` of each key's version of the greatest sequence."""
     kept = F.struct(F.col(seq).alias("seq"), *(c.alias(n) for n, c in columns.items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import cache
@@ -27,6 +27,16 @@ def ratios(df: DataFrame, key: str) -> DataFrame:
     return hits(df, key).select("*", quotient.alias("hit_miss_ratio"))
 
 
+def of_hits(df: DataFrame, key: str) -> DataFrame:
+    """``metric, value`` of the hits and misses of an access stream."""
+    return hits(df, key).select(F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).cast("long").alias("value")) for n, c in (("hit", "hits"), ("miss", "misses"))))))
+
+
+def stripes(df: DataFrame, hashed: Column, delta: Column) -> DataFrame:
+    """``stripe, value``: a counter's additions by the stripe of their key's hash, ten slots apart, of which there are 25."""
+    return df.groupBy((F.pmod(hashed, F.lit(25)) * 10).cast("long").alias("stripe")).agg(F.sum(delta).cast("long").alias("value"))
+
+
 def of_replay(events: DataFrame) -> DataFrame:
     """``metric, value`` for every counter from the rows of an admission replay with its gets.
 

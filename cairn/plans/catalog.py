@@ -145,6 +145,12 @@ def mem_put(spark: SparkSession, d: str) -> DataFrame:
     return log.select("k", "seq", "vtype", "tag", "v", F.octet_length("record").cast("long").alias("bytes"))
 
 
+@query
+def mem_load(spark: SparkSession, d: str) -> DataFrame:
+    """A sorted table loaded into a memtable."""
+    return memtable.load(sst_roundtrip(spark, d), "k", "v")
+
+
 @query
 def mem_usage(spark: SparkSession, d: str) -> DataFrame:
     return memtable.usage(load(spark, d, "customer"), "c_name", "c_mktsegment")
@@ -201,6 +207,18 @@ def sst_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return tables.open_sorted(spark, path, rows.schema)
 
 
+@query
+def sst_codecs(spark: SparkSession, d: str) -> DataFrame:
+    """The same table under every compression."""
+    rows, found = ordered.scan(load(spark, d, "customer"), "c_name", "c_mktsegment"), None
+    for name in tables.CODECS:
+        path = fresh_dir(spark, f"sst-{name}")
+        tables.write_sorted(rows, path, "k", codec=name)
+        back = tables.open_sorted(spark, path, rows.schema).select(F.lit(name).alias("codec"), "k", "v")
+        found = back if found is None else found.union(back)
+    return found
+
+
 @query
 def sst_block_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Blocks as bytes with checksums, read back into entries."""
@@ -348,6 +366,21 @@ def ring_batches(spark: SparkSession, d: str) -> DataFrame:
     return cache.batches(load(spark, d, "events"), "event_id")
 
 
+@query
+def ring_gets(spark: SparkSession, d: str) -> DataFrame:
+    return cache.gets(load(spark, d, "events"), "event_id")
+
+
+@query
+def metrics_report(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.report(metrics.of_hits(load(spark, d, "events"), "user_id"))
+
+
+@query
+def metrics_stripes(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.stripes(load(spark, d, "events"), F.col("user_id"), F.lit(1))
+
+
 @query
 def cache_replace_old_value(spark: SparkSession, d: str) -> DataFrame:
     return memtable.previous_value(load(spark, d, "events"), "user_id", "event_id", "value")

@@ -111,6 +111,16 @@ ORACLES: dict[str, str] = {
     "residency_histogram": """SELECT (epoch_us(nxt)-epoch_us(ts))//3600000000 AS hours, count(*) AS n FROM (SELECT ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY 1""",
     # K-17,K-12,E-21
     "cache_clear": """SELECT user_id AS k, max(event_id) AS seq, 'evict' AS event FROM events GROUP BY user_id""",
+    # S-28
+    "mem_load": """SELECT c_name AS k, 0 AS seq, 1 AS vtype, 1 AS tag, c_mktsegment AS v FROM customer""",
+    # S-29
+    "sst_codecs": """SELECT codec, c_name AS k, c_mktsegment AS v FROM customer, (VALUES ('snappy'),('zstd'),('lz4')) t(codec)""",
+    # E-23
+    "ring_gets": """SELECT count(*)//64*64 AS kept, 0 AS dropped, count(*)%64 AS waiting FROM events""",
+    # X-01
+    "metrics_stripes": """SELECT user_id % 25 * 10 AS stripe, count(*) AS value FROM events GROUP BY 1""",
+    # X-06,X-07
+    "metrics_report": """SELECT 'hit: ' || h || ' miss: ' || m || ' keys-added: 0 keys-updated: 0 keys-evicted: 0 cost-added: 0 cost-evicted: 0 sets-dropped: 0 sets-rejected: 0 gets-dropped: 0 gets-kept: 0 gets-total: ' || (h+m) || ' hit-ratio: ' || printf('%.2f', h::DOUBLE/(h+m)) AS report FROM (SELECT count(*) - count(DISTINCT user_id) AS h, count(DISTINCT user_id) AS m FROM events)""",
     # M-01
     "mem_put": """SELECT k, seq, 1 AS vtype, seq*256+1 AS tag, v, 16 + strlen(k) + strlen(v) AS bytes FROM (SELECT r_name AS k, row_number() OVER (ORDER BY r_regionkey) - 1 AS seq, r_name AS v FROM region UNION ALL SELECT n_name, (SELECT count(*) FROM region) + row_number() OVER (ORDER BY n_nationkey) - 1, n_name FROM nation)""",
     # P-02,P-06,P-12
