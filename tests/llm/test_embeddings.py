@@ -1,6 +1,7 @@
 import numpy as np
 
 from cairn.llm import embeddings as E
+from cairn.llm import queries as Q
 
 SCHEMA = "vec_id long, embedding array<float>, n_links string"
 
@@ -55,12 +56,28 @@ def test_recall_of_the_plan():
     b -= (a * b).sum(1)[:, None] * a
     b /= np.linalg.norm(b, axis=1)[:, None]
     b = 0.9 * a + np.sqrt(1 - 0.81) * b
-    for n in (1_000, 100_000, 100_000_000):
+    for n in (1_000, 100_000, 100_000_000, 10**12):
         k, tables = E.plan(n, 0.9)
+        assert tables <= E.MAX_TABLES
         met = (E.bucket_keys(a, k, tables) == E.bucket_keys(b, k, tables)).any(axis=1)
         assert met.mean() >= 0.9
 
 
+def test_keys_do_not_depend_on_what_else_is_computed():
+    rng = np.random.default_rng(2)
+    raw = [x.astype("<f4").tobytes() for x in rng.standard_normal((700, 48))]
+    every = E.bucket_keys(E.units(raw, "<f4"), 7, 9)
+    for rows in ([3], [699, 2], list(range(0, 700, 13))):
+        assert (E.bucket_keys(E.units([raw[i] for i in rows], "<f4"), 7, 4) == every[rows, :4]).all()
+
+
+def test_registered_query_matches_brute_force(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    found = Q.op9_embeddings(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == brute(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
+
+
 def test_empty_table_and_null_ids(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = E.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], ""), (7, [1.0, 0.0], ""), (None, None, "")], SCHEMA).coalesce(1)).collect()
