@@ -8,6 +8,7 @@ key is hot.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 from cairn import session
 from cairn.session import discard, fresh_dir
 
-__all__ = ["components", "discard", "fresh_dir", "materialize", "numbered", "ship", "slices"]
+__all__ = ["components", "discard", "fresh_dir", "give_back", "materialize", "numbered", "ship", "slices"]
 
 #: Rows and bytes that go to Python at once: texts are long, and a batch is in memory on both sides.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,6 +49,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """At the end of a task that needed much memory: return what is free, as the worker stays for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     return session.stored(df, label)

@@ -1,22 +1,28 @@
-"""SimHash fingerprints and near-duplicate classes by ball enumeration.
+"""SimHash fingerprints and near-duplicate classes by multi-index hashing.
 
-The table keys of a 64-bit fingerprint are all values of its Hamming ball of radius ``ceil(d / 2)``,
-at most 2 (``d`` up to 4); this replaces tables per 16-bit segment.  Two fingerprints at distance ``d`` meet in the key
-halfway between them, so a key's matches are verified against each other by their complete
-distance.  Only *distinct* fingerprints enter the tables: a group of copies is one entry, and a
-key has at most as many entries as its ball, 65 for ``d = 2``; no list of pairs is ever made.
+A 64-bit fingerprint has two segments of 32 bits.  Two fingerprints within ``d`` bits are within ``d // 2``
+bits in one of them, so each segment has a table keyed by its value, and every fingerprint looks up
+the small Hamming ball around each of its segments.  Whatever meets in a table entry is verified by
+its complete distance.  Only *distinct* fingerprints enter the tables, so a group of copies is one
+entry.  An entry that ``FEW`` fingerprints or less look up is verified as a whole; a dense one is divided
+by the other segment first, where its fingerprints meet in a value between them, so that no list of
+pairs is made however many texts resemble each other.
 
 Defined results.  Null or empty text: no word, fingerprint zero, linked like any other.  Repeated
 rows share a fingerprint and a component.  Null ids: a row keeps its fingerprint; the component id
 is the least non-null id, null if there is none.  Empty table: empty result.  Columns of any other
-name are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.
+name are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.  Very long texts are hashed
+whole; fingerprints are counted in steps of bounded size.
 
 :func:`keep_one_similar` links by the exact Jaccard similarity of shingle sets instead, which 64 bits
 cannot tell: at 0.8 fingerprints differ in about ten bits.  Its candidates share one of ``BANDS``
-keys of ``BAND_ROWS`` least hashes (a pair at 0.8 shares none with probability 0.0004), and each is
-verified on the complete sets.  All pairs of a key with at most ``ALL_PAIRS`` different sets are
-candidates; of larger keys each set meets the least, the greatest and a random one, so no group
-makes a square of pairs.
+keys of ``BAND_ROWS`` least hashes (a pair at 0.8 shares none with probability 0.0004).  Pairs whose
+sketches, a byte of each least hash, agree far less than those of such sets go (a pair at 0.8 does with probability 0.00004);
+each other one is verified on the complete sets.  All pairs of a key with at most ``ALL_PAIRS`` different sets are
+candidates; of larger keys each set meets the least, the greatest and a random one first.  Where that leaves a key's
+sets in more than one component, they are compared in blocks, without a list of pairs: of two sets
+of that similarity, one of the rarest elements of each is common, and sets of one component need no
+comparison.  So no key loses a link between components, and no group makes a square of pairs.
 """
 
 from __future__ import annotations
@@ -29,10 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import components, materialize, ship, with_row_id
+from cairn.llm.shared import components, materialize, numbered, ship, slices
 
-SEGMENTS, SEGMENT_BITS = 4, 16
-BANDS, BAND_ROWS, ALL_PAIRS = 20, 5, 8
+SEGMENTS, SEGMENT_BITS = 2, 32
+MASK = (1 << SEGMENT_BITS) - 1
+#: Fingerprints of a table entry that are verified against each other; a dense entry is divided first.
+FEW = 32
+BANDS, BAND_ROWS, ALL_PAIRS, BLOCK = 20, 5, 8, 512
 _FACTORS = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 7) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 
 
@@ -69,43 +78,96 @@ def fingerprints(df: DataFrame, text: str, keep: list[str], shingle: int = 3, ou
     schema = source.drop("__text").withColumn(out, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            values = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*keep, out])
+        for part in slices(batches, len(keep)):
+            values = np.array([fingerprint(t, shingle) for t in part.column(part.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values)], names=[*keep, out])
 
     return source.mapInArrow(run, schema)
 
 
-def ball(value: Column, radius: int) -> Column:
-    """Table keys: the fingerprint with each segment moved within its ball (radius 1), or the whole ball of radius 2."""
-    flips = lambda s: F.transform(F.sequence(F.lit(s * SEGMENT_BITS), F.lit((s + 1) * SEGMENT_BITS - 1)), lambda i: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    one = F.concat(F.array(value), *(flips(s) for s in range(SEGMENTS)))
-    if radius <= 1:
-        return one if radius else F.array(value)
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
-    return F.array_distinct(F.flatten(F.transform(bits, lambda b: F.transform(one, lambda x: x.bitwiseXOR(b)))))
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
-    """Links ``(a, b)`` that connect all fingerprints of ``nodes.fp`` (distinct) within ``distance`` bits.
+def _segment(fp: Column, s: int) -> Column:
+    return F.shiftrightunsigned(fp, SEGMENT_BITS * s).bitwiseAND(MASK)
+
+
+def _ball(value: Column, radius: int) -> Column:
+    """All values of a segment within ``radius`` bits (2 at most)."""
+    if not radius:
+        return F.array(value)
+    bits = F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1))
+    one = F.concat(F.array(value), F.transform(bits, lambda i: value.bitwiseXOR(_bit(i))))
+    return one if radius == 1 else F.array_distinct(F.flatten(F.transform(bits, lambda i: F.transform(one, lambda x: x.bitwiseXOR(_bit(i))))))
+
+
+def _probed(value: Column, radius: int) -> Column:
+    """The values whose table entry a segment looks up.
 
-    For an even distance all entries of a key are within it, so a key links its entries to the
-    least one.  For an odd distance a key's entries (a bounded number) are compared with each other.
+    Of two values that differ in one bit, one has it unset, so for radius 1 it is enough that each
+    looks up itself and what it is with one more bit.
     """
+    if radius != 1:
+        return _ball(value, radius)
+    return F.array_distinct(F.concat(F.array(value), F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda i: value.bitwiseOR(_bit(i)))))
+
+
+def _probing(value: Column, radius: int) -> Column:
+    """The inverse: the values that look up a table entry."""
+    if radius != 1:
+        return _ball(value, radius)
+    return F.array_distinct(F.concat(F.array(value), F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda i: value.bitwiseAND(F.bitwise_not(_bit(i))))))
+
+
+def _of_table(values: Column, s: int | Column) -> Column:
+    """Table entries: a segment's value and, above it, the segment's number."""
+    number = F.shiftleft(F.lit(s).cast("long") if isinstance(s, int) else s, SEGMENT_BITS)
+    return F.transform(values, lambda v: v.bitwiseOR(number))
+
+
+def _near(a: Column, b: Column, distance: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= distance
+
+
+def _verified(groups: DataFrame, distance: int) -> DataFrame:
+    """Links among ``all`` of each group, by the complete distance; only links leave it."""
+    later = lambda a: F.transform(F.filter(F.col("all"), lambda b: (b > a) & _near(a, b, distance)), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    return groups.select(F.inline(F.flatten(F.transform("all", later))))
+
+
+def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
+    """Links ``(a, b)`` that connect all fingerprints of ``nodes.fp`` (distinct) within ``distance`` bits."""
     if not 0 <= distance <= 4:
-        raise ValueError("distance is at most 4: the balls have radius 2 at most")
-    radius = (distance + 1) // 2
-    keyed = nodes.select("fp", F.explode(ball(F.col("fp"), radius)).alias("key"))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    if distance % 2:
-        groups = keyed.groupBy("key").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-        return groups.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where(F.col("a") < F.col("b")).where(near("a", "b")).distinct()
-    stats = materialize(keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "simhash-keys")
-    two = stats.where("n = 2").select("a", "b")
-    fetched = stats.where("n > 2").select("a", F.explode(ball(F.col("key"), radius)).alias("b"))
-    more = fetched.join(nodes.select(F.col("fp").alias("b")), "b").select("a", "b")
-    return two.union(more).where(F.col("a") != F.col("b")).where(near("a", "b")).distinct()
+        raise ValueError("distance is at most 4: a segment's ball has radius 2 at most")
+    radius, half = distance // SEGMENTS, (distance + 1) // 2
+    spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    probes = F.concat(*(_of_table(_probed(_segment(F.col("fp"), s), radius), s) for s in range(SEGMENTS)))
+    met = spread.select("fp", F.explode(probes).alias("key")).groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
+    met = materialize(met.where("n > 1"), "simhash-keys")
+    two = met.where("n = 2").select("a", "b").where(_near(F.col("a"), F.col("b"), distance))
+    # what a table entry with more fingerprints was looked up by
+    table = nodes.select("fp", F.explode(F.concat(*(_of_table(F.array(_segment(F.col("fp"), s)), s) for s in range(SEGMENTS)))).alias("own"))
+    number, value = F.shiftrightunsigned("key", SEGMENT_BITS), F.col("key").bitwiseAND(MASK)
+
+    def fetched(keys: DataFrame) -> DataFrame:
+        return keys.select("key", F.explode(_of_table(_probing(value, radius), number)).alias("own")).join(table, "own").select("key", "fp")
+
+    few = fetched(met.where((F.col("n") > 2) & (F.col("n") <= FEW)).select("key")).groupBy("key").agg(F.collect_list("fp").alias("all"))
+    # a dense entry is divided by the other segment, in which its fingerprints meet between them
+    mine = F.when(number == 0, _segment(F.col("fp"), 0)).otherwise(_segment(F.col("fp"), 1))
+    other = F.when(number == 0, _segment(F.col("fp"), 1)).otherwise(_segment(F.col("fp"), 0))
+    dense = fetched(met.where(F.col("n") > FEW).select("key")).select("key", "fp", F.bit_count(mine.bitwiseXOR(value)).alias("off"), other.alias("other"))
+    away = F.array(F.lit(None).cast("long"))
+    for off in range(radius, -1, -1):
+        away = F.when(F.col("off") == off, _ball(F.col("other"), half if not off else max(0, distance - off - half))).otherwise(away)
+    dense = dense.select("key", "fp", F.explode(away).alias("between"))
+    if distance % 2:  # a group is bounded by the size of a ball
+        parts = _verified(dense.groupBy("key", "between").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1), distance)
+    else:  # all of a group are within the distance of each other
+        least = materialize(dense.groupBy("key", "between").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-dense")
+        parts = dense.join(least, ["key", "between"]).select("a", F.col("fp").alias("b")).where("a != b").where(_near(F.col("a"), F.col("b"), distance))
+    return two.union(_verified(few, distance)).union(parts).distinct()
 
 
 def classes(marked: DataFrame, id_col: str, distance: int) -> DataFrame:
@@ -126,57 +188,171 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
 def keep_one(df: DataFrame, text: str = "text", shingle: int = 5, distance: int = 2) -> DataFrame:
     """The rows of ``df`` with one row of each near-duplicate group: the one stored first."""
     row = "__cairn_row"
-    marked = materialize(fingerprints(with_row_id(df.select(text), row), text, [row], shingle), "simhash-marked")
+    rows = numbered(df, row, "simhash-rows")
+    marked = materialize(fingerprints(rows.select(row, text), text, [row], shingle), "simhash-marked")
     firsts = classes(marked, row, distance).groupBy("component").agg(F.lit(1).alias("n")).select(F.col("component").alias(row))
-    return with_row_id(df, row).join(firsts, row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    return rows.join(firsts, row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 # --- exact similarity of shingle sets ------------------------------------------------------
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key (signed) per band of a shingle set; equal for two sets with the probability that BAND_ROWS least hashes agree."""
-    if not len(hashes):
-        return []
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Per factor the least hash of a shingle set; two sets agree in one with a probability of their similarity."""
     low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 1 << 12):
         low = np.minimum(low, (hashes[at : at + (1 << 12), None] * _FACTORS).min(axis=0))
+    return low
+
+
+def band_keys(low: np.ndarray) -> list[int]:
+    """A key (signed) per band of a set's least hashes; equal for two sets with the probability that BAND_ROWS of them agree."""
     data, step = low.astype("<u8").tobytes(), 8 * BAND_ROWS
     keys = [xxhash.xxh64_intdigest(data[i * step : (i + 1) * step], i) for i in range(BANDS)]
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+def sketch(low: np.ndarray) -> bytes:
+    """A byte of each least hash."""
+    return (low >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def least_agreement(least: float) -> int:
+    """How many bytes of two sketches agree at the least, but for four standard deviations, at a similarity of ``least``."""
+    n = len(_FACTORS)
+    return max(0, int(n * least - 4 * (n * least * (1 - least)) ** 0.5))
+
+
 def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
 
 
 def _marks(rows: DataFrame, row: str, text: str, shingle: int) -> DataFrame:
-    """``row, node, keys``: the hash of the row's shingle set and its band keys."""
+    """``row, node, keys, sketch``: the hash of the row's shingle set, its band keys and its sketch; no keys for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+        for part in slices(batches, 1):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(1).to_pylist()]
             nodes = np.array([_node(x) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["row", "node", "keys"])
+            low = [least_hashes(x) for x in sets]
+            keys = pa.array([band_keys(y) if len(x) else [] for x, y in zip(sets, low, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), keys, pa.array([sketch(y) for y in low], pa.binary())], names=["row", "node", "keys", "sketch"])
 
-    return rows.select(F.col(row), F.col(text).cast("binary")).mapInArrow(run, "row long, node long, keys array<long>")
+    return rows.select(F.col(row), F.col(text).cast("binary")).mapInArrow(run, "row long, node long, keys array<long>, sketch binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of ``node, keys`` that share a key; of keys with many nodes, pairs with three of them."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """``key, n, a, b, c`` of keys that several nodes share: the least node, the greatest and a random one."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     drawn = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"]
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), drawn.alias("c")).where("n > 1")
-    buckets = materialize(buckets, "simhash-buckets")
-    two = buckets.where("n = 2").select("a", "b")
-    few = keyed.join(buckets.where((F.col("n") > 2) & (F.col("n") <= ALL_PAIRS)).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("all"))
+    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), drawn.alias("c"))
+    return materialize(found.where("n > 1"), "simhash-buckets")
+
+
+def candidates(nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``node, keys`` that share a key of ``met``; of keys with many nodes, pairs with three of them."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    two = met.where("n = 2").select("a", "b")
+    few = keyed.join(met.where((F.col("n") > 2) & (F.col("n") <= ALL_PAIRS)).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("all"))
     few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
-    many = keyed.join(buckets.where(F.col("n") > ALL_PAIRS).select("key", F.array("a", "b", "c").alias("met")), "key")
+    many = keyed.join(met.where(F.col("n") > ALL_PAIRS).select("key", F.array("a", "b", "c").alias("met")), "key")
     many = many.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"))  # bounded: three a band
     many = many.select("node", F.explode("met").alias("other")).where("node != other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     return two.union(few).union(many).distinct()
 
 
+def joining_links(sets: list[np.ndarray], component: list[int], side: list[int], least: float) -> list[tuple[int, int]]:
+    """Links between sets that join their components, each where components were still apart.
+
+    Sets are sorted and distinct hashes.  Elements are ordered from the rarest: two sets of
+    similarity ``least`` share one of the first ``size - ceil(least * size) + 1`` of each.  If there are
+    two sides, only sets of different sides are compared.
+    """
+    root: dict[int, int] = {c: c for c in component}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((number, count[number], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = order[place < np.repeat(sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, sizes)]
+    first = first[count[number[first]] > 1]
+    first = first[np.argsort(number[first], kind="stable")]
+    owners = np.split(owner[first], np.flatnonzero(np.diff(number[first])) + 1)
+    both, out = len(set(side)) > 1, []
+    compared: set[tuple[int, int]] = set()
+    for group in owners:
+        group = group.tolist()
+        tops = [top(component[i]) for i in group]
+        if len(set(tops)) < 2:
+            continue
+        for k, i in enumerate(group):
+            for j in group[:k]:
+                if (both and side[i] == side[j]) or (j, i) in compared or top(component[i]) == top(component[j]):
+                    continue
+                compared.add((j, i))
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if small < least * large - 1e-9:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= least * (small + large - common) - 1e-9:
+                    root[top(component[i])] = top(component[j])
+                    out.append((i, j))
+    return out
+
+
+def _joined(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` between the components of the nodes of ``key, node, component, n``; a key's blocks meet in pairs."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("key", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            found = joining_links([np.frombuffer(r[6], dtype="<u8") for r in held], [r[5] for r in held], [r[3] for r in held], least)
+            nodes = [r[4] for r in held]
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and r[:3] != held[0][:3]:
+                    yield done()
+                    held = []
+                held.append(r)
+        if held:
+            yield done()
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = ["key", "i", "j"]
+    return rows.repartition(n, *group).sortWithinPartitions(*group).select(*group, "block", "node", "component", "hashes").mapInArrow(run, "a long, b long")
+
+
+def _ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """``a, b, x, y``: pairs with the column of both nodes; by sorted shuffles at every size, which skewed nodes may split."""
+    left, right = of.select(F.col("node").alias("a"), F.col(column).alias("x")), of.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` whose sketches agree as those of sets of that similarity do."""
+    need, width = least_agreement(least), len(_FACTORS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, width) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= need))
+
+    return _ends(pairs, nodes, "sketch").mapInArrow(run, "a long, b long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` whose sets have at least that Jaccard similarity."""
 
@@ -190,30 +366,45 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(both >= least * (small + large - both) - 1e-9)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _ends(pairs, sets, "hashes").mapInArrow(run, "a long, b long")
+
 
+def _sets(rows: DataFrame, asked: DataFrame, row: str, text: str, shingle: int) -> DataFrame:
+    """``node, hashes``: the sorted shingle hashes of the nodes ``asked`` (``node, row``); stored."""
 
-def _sets(rows: DataFrame, text: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+        for part in slices(batches, 1):
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
-    return rows.select("node", F.col(text).cast("binary")).mapInArrow(run, "node long, hashes binary")
+    texts = rows.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text")).join(materialize(asked, "simhash-asked").hint("merge"), "row")
+    return materialize(texts.select("node", "text").mapInArrow(run, "node long, hashes binary"), "simhash-hashes")
 
 
 def keep_one_similar(df: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``df`` with one row, the one stored first, of each group linked by Jaccard similarities of at least ``least``."""
     ship(df.sparkSession)
     row = "__cairn_row"
-    numbered = with_row_id(df.select(text), row)
-    marked = _marks(numbered, row, text, shingle)
-    nodes = materialize(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys")), "simhash-sets")
-    pairs = materialize(candidates(nodes), "simhash-candidates")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row"), "node")
-    texts = numbered.withColumnRenamed(row, "row").join(materialize(asked, "simhash-asked"), "row")
-    sets = materialize(_sets(texts, text, shingle), "simhash-hashes")
-    roots = components(_similar(pairs, sets, least), "a", "b", "simhash").toDF("node", "root")
+    rows = numbered(df, row, "simhash-rows")
+    marked = materialize(_marks(rows, row, text, shingle), "simhash-marks")
+    nodes = materialize(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "simhash-sets")
+    met = buckets(nodes)
+    pairs = materialize(_alike(candidates(nodes, met), nodes, least), "simhash-candidates")
+    large = materialize(nodes.select("node", F.explode("keys").alias("key")).join(met.where(F.col("n") > ALL_PAIRS).select("key", "n"), "key"), "simhash-large")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct().join(nodes.select("node", "row"), "node")
+    sets = _sets(rows, asked, row, text, shingle)
+    linked = materialize(_similar(pairs, sets, least), "simhash-links")
+    roots = components(linked, "a", "b", "simhash").toDF("node", "root")
+    # keys of many sets: what their three did not join
+    large = large.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("component"))
+    apart = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    apart = materialize(large.join(apart, "key"), "simhash-apart")
+    if not apart.isEmpty():
+        linked = materialize(linked.union(_joined(apart, sets, least)), "simhash-links")
+        roots = components(linked, "a", "b", "simhash").toDF("node", "root")
     firsts = nodes.select("node", "row").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias(row)).select(row)
-    return with_row_id(df, row).join(materialize(firsts, "simhash-firsts"), row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    firsts = materialize(firsts, "simhash-firsts")
+    gone = materialize(marked.select(F.col("row").alias(row)).join(firsts, row, "left_anti"), "simhash-gone")
+    # the rows are joined with the fewer of those that stay and those that go
+    stay = rows.join(firsts, row, "left_semi") if firsts.count() < gone.count() else rows.join(gone, row, "left_anti")
+    return stay.select(*(F.col(f"`{c}`") for c in df.columns))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -66,6 +67,55 @@ def test_links_connect_what_brute_force_connects(spark, distance):
     assert {p: top(p) for p in signed} == want
 
 
+@pytest.mark.parametrize("distance", [2, 3, 4])
+def test_dense_table_entries(spark, monkeypatch, distance):
+    """Many fingerprints share a segment: entries are divided, and no link is lost or false."""
+    monkeypatch.setattr(S, "FEW", 4)
+    rng = random.Random(distance)
+    prints = set()
+    for _ in range(3):
+        high = rng.getrandbits(32) << 32
+        for _ in range(25):
+            p = high | rng.getrandbits(32)
+            for _ in range(3):
+                prints.add(p)
+                for _ in range(rng.randint(1, 3)):
+                    p ^= 1 << rng.choice([rng.randrange(32), rng.randrange(64)])
+    prints |= {1 << i for i in range(64)} | {0}
+    signed = {p - (1 << 64) if p >> 63 else p for p in prints}
+    found = [(r["a"], r["b"]) for r in S.links(spark.createDataFrame([(p,) for p in signed], "fp long"), distance).collect()]
+    assert all(a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance for a, b in found)
+    root = {p: p for p in signed}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    assert {p: top(p) for p in signed} == components([(p, p & (1 << 64) - 1) for p in signed], distance)
+
+
+@pytest.mark.parametrize("keep", [S.keep_one, S.keep_one_similar])
+def test_one_row_of_each_group_stays_however_rows_move(spark, keep):
+    """The input is no stored table: rows arrive in another order at each evaluation."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.union(docs.selectExpr("doc_id + 1000000", "text", "lang", "source", "n_chars"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        moved = keep(more.dropDuplicates(["doc_id"]), shingle=5)
+        kept = [r["text"] for r in moved.select("text").collect()]
+        want = [r["text"] for r in keep(docs.coalesce(1), shingle=5).select("text").collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(kept) == len(want) > 50
+
+
 def test_operator_on_odd_rows(spark):
     rows = [(4, "a b c d", "x"), (2, "A B C D", "y"), (9, None, None), (8, "", "z"), (7, "something else entirely here", ""), (7, "something else entirely here", ""), (None, "a b c d", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
@@ -133,6 +183,55 @@ def test_keep_one_similar_finds_every_pair_of_the_least_similarity(spark):
     assert S.keep_one_similar(df.limit(0)).collect() == []
 
 
+def test_large_keys_lose_no_link_between_components(spark, monkeypatch):
+    """Families around one passage meet in the same keys, far more sets than are compared at first."""
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randint(0, 10**6)
+    passage = [word() for _ in range(150)]
+    texts = []
+    for _ in range(30):  # families of similarity 0.7 or so to each other, chains of near copies inside
+        text = [*passage, *(word() for _ in range(45))]
+        for _ in range(4):
+            texts.append(" ".join(text))
+            for _ in range(2):
+                text[rng.randrange(len(text))] = word()
+    rng.shuffle(texts)
+    want, links = similar_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for block in (512, 16):
+        monkeypatch.setattr(S, "BLOCK", block)
+        assert {r["doc_id"] for r in S.keep_one_similar(df).collect()} == want
+    assert links > 60 and len(want) >= 20
+
+
+def test_joining_links_match_all_pairs():
+    rng = np.random.default_rng(3)
+    for turn in range(30):
+        base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(30, 60), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(25)]
+        component = [int(x) for x in rng.integers(0, 12, 25)]
+        side = [i % 2 for i in range(25)] if turn % 2 else [0] * 25
+        jac = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        root = {c: c for c in component}
+
+        def top(c, root=root):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        for i in range(25):
+            for j in range(i):
+                if (not turn % 2 or side[i] != side[j]) and jac(sets[i], sets[j]) >= 0.6:
+                    root[top(component[i])] = top(component[j])
+        want = [[top(component[i]) == top(component[j]) for j in range(25)] for i in range(25)]
+        for c in root:
+            root[c] = c
+        for i, j in S.joining_links(sets, component, side, 0.6):
+            assert jac(sets[i], sets[j]) >= 0.6 and top(component[i]) != top(component[j])
+            root[top(component[i])] = top(component[j])
+        assert [[top(component[i]) == top(component[j]) for j in range(25)] for i in range(25)] == want
+
+
 def test_distances_beyond_the_balls_are_refused():
     for distance in (-1, 5, 6):
         with pytest.raises(ValueError):
