@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.shared import ship, slices
+from cairn.llm.shared import give_back, ship, slices
 
-SPACE, LITERAL = "▁", "\ud800"  # a lone surrogate is in no text
+#: The model's mark of a space.  Pieces are kept with plain spaces, so the mark itself has no piece and is written in bytes.
+LITERAL, SPACE = "▁", " "
 UNKNOWN_PENALTY = 10.0
 #: Bytes, about, of the parts that a worker keeps within a task, and of a part without its characters and ids.
-CACHE_BYTES, ENTRY = 160 << 20, 260
+CACHE_BYTES, ENTRY = 96 << 20, 200
 _NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -56,29 +57,30 @@ class PieceModel:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         probe = " a  é\tz \n"
-        if model.normalize(probe) != (SPACE + probe).replace(" ", SPACE):
+        if model.normalize(probe) != (SPACE + probe).replace(SPACE, LITERAL):
             raise ValueError("the model's normaliser changes texts")
         self.prefixes: dict[str, tuple[int, float] | None] = {}
         self.bytes: list[int] = [0] * 256
         self.content: list[bytes] = []
         scores = []
         for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
+            marked = model.id_to_piece(i)
+            piece = marked.replace(LITERAL, SPACE)
             if model.is_byte(i):
-                value = int(piece[3:-1], 16)
+                value = int(marked[3:-1], 16)
                 self.bytes[value] = i
                 self.content.append(bytes([value]))
             elif model.is_control(i) or model.is_unknown(i):
                 self.content.append(b"")
             else:
-                if SPACE in piece.lstrip(SPACE):
+                if SPACE in marked or SPACE in piece.lstrip(SPACE):
                     raise ValueError("a piece holds a space mark behind another character")
                 score = float(model.get_score(i))
                 scores.append(score)
                 for n in range(1, len(piece)):
                     self.prefixes.setdefault(piece[:n], None)
                 self.prefixes[piece] = (i, score)
-                self.content.append(piece.replace(SPACE, " ").encode())
+                self.content.append(piece.encode())
         self.unknown = min(scores) - UNKNOWN_PENALTY
         self.trie: dict[str, tuple[dict, tuple[int, float] | None]] = {}
         for piece, found in self.prefixes.items():
@@ -103,8 +105,7 @@ class PieceModel:
             j = i + 1
             found = prefixes.get(part[i:j], none)
             if not found:  # no piece of this character alone
-                char = SPACE if part[i] == LITERAL else part[i]
-                ends[j].append((i, tuple(self.bytes[b] for b in char.encode("utf-8")), self.unknown))
+                ends[j].append((i, tuple(self.bytes[b] for b in part[i].encode("utf-8")), self.unknown))
                 if here + self.unknown > forward[j]:
                     forward[j] = here + self.unknown
             while found is not none:
@@ -191,7 +192,7 @@ class PieceModel:
         while at:
             at, piece = back[at]
             if piece < 0:
-                ids += [self.bytes[x] for x in reversed((SPACE if part[at] == LITERAL else part[at]).encode("utf-8"))]
+                ids += [self.bytes[x] for x in reversed(part[at].encode("utf-8"))]
             else:
                 ids.append(piece)
         ids.reverse()
@@ -203,8 +204,8 @@ class PieceModel:
         at = len(self.packed)
         if at == len(self.best):
             grow = max(1 << 12, at)
-            self.best, self.loss, self.size = (np.concatenate([x, np.zeros(grow, dtype=x.dtype)]) for x in (self.best, self.loss, self.size))
-        self.best[at], self.loss[at], self.size[at] = best, best - second, len(packed)
+            self.best, self.loss, self.size, self.again = (np.concatenate([x, np.zeros(grow, dtype=x.dtype)]) for x in (self.best, self.loss, self.size, self.again))
+        self.best[at], self.loss[at], self.size[at], self.again[at] = best, best - second, len(packed), False
         self.packed.append(packed)
         self.index[part] = at
         self.held += ENTRY + 2 * len(part) + len(packed)
@@ -225,18 +226,33 @@ class PieceModel:
         self.index: dict[str, int] = {}
         self.packed: list[bytes] = []
         self.others: dict[int, list[tuple[float, bytes]]] = {}
-        self.best, self.loss, self.size = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
+        self.best, self.loss, self.size, self.again = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.held, self.n = 0, 0
 
+    def _sweep(self) -> None:
+        """Forget the parts that no later text had since the last sweep."""
+        kept = [(part, i) for part, i in self.index.items() if self.again[i]]
+        at = np.array([i for _, i in kept], dtype=np.int64)
+        packed = [self.packed[i] for _, i in kept]
+        n, best, loss, size = self.n, self.best[at], self.loss[at], self.size[at]
+        held = sum(ENTRY + 2 * len(part) + len(x) for (part, _), x in zip(kept, packed, strict=True))
+        self.release()
+        self.n = n
+        if 2 * held <= self.limit:
+            self.index, self.packed, self.held = {part: i for i, (part, _) in enumerate(kept)}, packed, held
+            self.best, self.loss, self.size, self.again = best, loss, size, np.zeros(len(kept), dtype=bool)
+
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The ``n`` best encodings ``(score, ids as little-endian u32)`` of a text, best first."""
         if not text:
             return [(0.0, b"")]
-        if self.held > self.limit or n != self.n:
+        if n != self.n:
             self.release()
             self.n = n
-        parts = self.parts.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
-        index = self.index
+        elif self.held > self.limit:
+            self._sweep()
+        parts = self.parts.findall(SPACE + text)
+        index, old = self.index, len(self.packed)
         at = list(map(index.get, parts))
         if None in at:
             for i, x in enumerate(at):
@@ -244,8 +260,9 @@ class PieceModel:
                     part = parts[i]
                     at[i] = index[part] if part in index else self._add(part)
         packed = self.packed
-        ids = b"".join([packed[i] for i in at])
+        ids = b"".join(map(packed.__getitem__, at))
         where = np.array(at)
+        self.again[where[where < old]] = True
         score = float(self.best[where].sum())
         out = [(score, ids)]
         if n > 1:
@@ -286,20 +303,22 @@ def load(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out: str = "ids", cache_bytes: int = CACHE_BYTES, decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out: str = "ids", cache_bytes: int = CACHE_BYTES, decoded: str | None = None, keep: list[str] | None = None, paths: bool = True) -> DataFrame:
     """``df`` with ``out`` (binary, ids as little-endian u32), ``<out>_score`` and ``<out>_n_best`` (array of score and ids, best first).
 
-    ``decoded`` names a further column: the text that the ids of ``out`` stand for.  A worker keeps
-    the parts it has searched, up to ``cache_bytes``, and forgets them with its task.
+    ``keep`` columns stay, all by default.  Without ``paths`` the array holds the scores alone.  ``decoded``
+    names a further column: the text that the ids of ``out`` stand for.  A worker keeps the parts it
+    has searched, up to ``cache_bytes``, and forgets them with its task.
     """
     ship(df.sparkSession)
-    best = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", T.BinaryType())]))
+    best = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), *([T.StructField("ids", T.BinaryType())] if paths else [])]))
     extra = [T.StructField(out, T.BinaryType()), T.StructField(f"{out}_score", T.DoubleType()), T.StructField(f"{out}_n_best", best)]
     extra += [T.StructField(decoded, T.StringType())] if decoded else []
     names = [f.name for f in extra]
-    source = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names))
-    at = source.columns.index(text)
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
+    held = [c for c in (df.columns if keep is None else keep) if c not in names]
+    source = df.select(*(F.col(f"`{c}`") for c in held), F.col(f"`{text}`").alias("__cairn_text"))
+    at = len(held)
+    kind = pa.list_(pa.struct([("score", pa.float64()), *([("ids", pa.binary())] if paths else [])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model)
@@ -309,14 +328,15 @@ def encode(df: DataFrame, model: str, text: str = "text", n_best: int = 1, out:
                 found = [None if t is None else coder.encode(t, n_best) for t in part.column(at).to_pylist()]
                 columns = [pa.array([None if x is None else x[0][1] for x in found], pa.binary())]
                 columns.append(pa.array([0.0 if x is None else x[0][0] for x in found], pa.float64()))
-                columns.append(pa.array([None if x is None else [{"score": s, "ids": i} for s, i in x] for x in found], kind))
+                columns.append(pa.array([None if x is None else [{"score": s, "ids": i} if paths else {"score": s} for s, i in x] for x in found], kind))
                 if decoded:
                     columns.append(pa.array([None if x is None else coder.decode(x[0][1]) for x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *columns], names=[*held, *names])
         finally:
-            coder.release()  # the worker stays, and other tasks need its memory
+            coder.release()
+            give_back()
 
-    return source.mapInArrow(run, T.StructType([*source.schema, *extra]))
+    return source.mapInArrow(run, T.StructType([*source.schema[:-1], *extra]))
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -63,3 +63,20 @@ def test_operator(spark):
     assert [r["decoded"] for r in out] == [r[1] for r in rows]
     assert [r["ids_score"] for r in out][1:3] == [0.0, 0.0] and out[0]["ids"] == out[3]["ids"] and len(out[0]["ids_n_best"]) == 3
     assert P.encode(df.limit(0), PATH).collect() == []
+
+
+def test_a_small_cache_changes_no_result(spark):
+    model = P.PieceModel(PATH)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "end"]) if rng.random() < 0.5 else "".join(rng.choice("aehtinr") for _ in range(8)) for _ in range(60)) for _ in range(200)]
+    want = [model.encode(t, 3) for t in texts]
+    model.release()
+    model.limit = 100_000
+    sizes = []
+    for t, w in zip(texts * 2, want * 2, strict=True):
+        assert model.encode(t, 3) == w
+        sizes.append(model.held)
+    assert max(sizes) < 150_000 and any(b < a for a, b in zip(sizes, sizes[1:], strict=False)) and " the" in model.index
+    df = spark.createDataFrame([(1, texts[0], "x")], "doc_id long, text string, ids string")
+    row = P.encode(df, PATH, n_best=2, keep=["doc_id"], paths=False, decoded="back").first().asDict()
+    assert list(row) == ["doc_id", "ids", "ids_score", "ids_n_best", "back"] and row["back"] == texts[0] and [list(x.asDict()) for x in row["ids_n_best"]] == [["score"]] * 2
