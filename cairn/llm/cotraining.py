@@ -247,14 +247,14 @@ def _features(df: DataFrame, key: str) -> DataFrame:
 def _labelled(inputs: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """``fold, y, x, m`` of about ``most`` labelled rows at most, by the hash of the row."""
     rows = inputs.withColumn("row", _hash("id", *_INPUTS)).withColumn("key", _hash(*_INPUTS))
-    slim = materialize(rows.select("id", "row", "key").join(known, "id").groupBy("row").agg(F.min("key").alias("key"), F.min("y").alias("y")), "cotraining-known")
+    slim = materialize(rows.select("id", "row", "key").join(known, "id").groupBy("row").agg(F.min("key").alias("key"), F.min("y").alias("y")), "cotraining-known", narrow=True)
     n = slim.count()
     if n > most:  # about ``most``: rows are taken by a bound of their hash
         slim = slim.where(F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(1 << 31)) < int((1 << 31) * most / n))
-    slim = materialize(slim, "cotraining-sample")
+    slim = materialize(slim, "cotraining-sample", narrow=True)
     texts = rows.join(F.broadcast(slim.select("row")), "row").groupBy("row").agg(*(F.first(c).alias(c) for c in _INPUTS))
     found = _features(texts, "row").withColumnRenamed("key", "row").join(slim, "row")
-    return materialize(found.select(F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"), "row", "y", "x", "m"), "cotraining-labelled")
+    return materialize(found.select(F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"), "row", "y", "x", "m"), "cotraining-labelled", narrow=True)
 
 
 _TRAINING = "fold int, row long, y double, x binary, m binary, pair int, view int, turn int"
@@ -328,7 +328,7 @@ def _chosen(inputs: DataFrame, known: DataFrame, weights: list, turn: int) -> Da
     rows = inputs.select("id", _hash(*_INPUTS).alias("key"), *_INPUTS)
     found = rows.mapInArrow(run, f"id {kind}, key long, " + ", ".join(f"{c} double" for c in columns))
     found = found.join(known.select("id"), "id", "left_anti").groupBy("key").agg(*(F.max(c).alias(c) for c in columns))
-    found = materialize(found, "cotraining-scores")
+    found = materialize(found, "cotraining-scores", narrow=True)
     lists = []
     for c, (pair, view, _, _, share) in zip(columns, order, strict=True):
         bad, good = wanted(share, turn)
@@ -347,14 +347,14 @@ def _pseudo(inputs: DataFrame, chosen: DataFrame, turn: int) -> DataFrame:
     texts = rows.join(F.broadcast(chosen.select("key").distinct()), "key").groupBy("key").agg(*(F.first(c).alias(c) for c in _INPUTS))
     found = _features(texts, "key").join(chosen, "key")
     only = lambda c, view: F.when(F.col("view") == view, F.col(c)).alias(c)
-    return materialize(found.select("key", "pair", "view", "y", only("x", 0), only("m", 1), F.lit(turn).alias("turn")), "cotraining-pseudo")
+    return materialize(found.select("key", "pair", "view", "y", only("x", 0), only("m", 1), F.lit(turn).alias("turn")), "cotraining-pseudo", narrow=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on about ``max_labelled`` labelled rows at most, and on pseudo-labels chosen from all other documents."""
     ship(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min(label).cast("double") > 0.5).cast("double").alias("y"))
-    known = materialize(known, "cotraining-labels")
+    known = materialize(known, "cotraining-labels", narrow=True)
     inputs = docs.select(F.col(id_col).alias("id"), *_inputs(docs, text, source, lang, n_chars))
     labelled = _labelled(inputs, known, max_labelled)
     classes = {r["y"] for r in labelled.select("y").distinct().collect()}

@@ -229,7 +229,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     classes = materialize(classes, "embeddings-classes")
     k, tables = plan(classes.count(), cosine)
     spread = materialize(_keyed(classes, k, tables, code), "embeddings-keys").select("cls", F.posexplode("keys").alias("t", "bucket"))
-    sizes = materialize(spread.groupBy("t", "bucket").agg(F.count("*").alias("size")).where("size > 1"), "embeddings-buckets")
+    sizes = materialize(spread.groupBy("t", "bucket").agg(F.count("*").alias("size")).where("size > 1"), "embeddings-buckets", narrow=True)
     # where an entry goes, without its vector: its blocks' pairs in each bucket that holds others
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     spread = spread.join(sizes, ["t", "bucket"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -239,9 +239,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     links = met.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(met.select("cls", "root"), "cls", "root", "embeddings").toDF("cls", "top")
     merged = classes.select("cls", "digest", "n", "least").join(links, "cls", "left").join(roots, "cls", "left")
-    merged = materialize(merged.select("digest", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("top", "cls").alias("top")), "embeddings-merged")
-    least = materialize(merged.groupBy("top").agg(F.min("least").alias("component")), "embeddings-least")
-    merged = materialize(merged.join(least, "top").select("digest", (F.col("links") + F.col("n") - 1).alias("n_links"), "component"), "embeddings-linked")
+    merged = materialize(merged.select("digest", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("top", "cls").alias("top")), "embeddings-merged", narrow=True)
+    least = materialize(merged.groupBy("top").agg(F.min("least").alias("component")), "embeddings-least", narrow=True)
+    merged = materialize(merged.join(least, "top").select("digest", (F.col("links") + F.col("n") - 1).alias("n_links"), "component"), "embeddings-linked", narrow=True)
     found = rows.where("vec is not null").select("id", "digest").join(merged, "digest").select("id", "n_links", "component")
     alone = rows.where("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     out = found.union(alone)

@@ -76,7 +76,7 @@ def told_apart(rows: DataFrame, same: list[str], hashed: str) -> DataFrame:
     row, so a large group is spread over the partitions.
     """
     names = [*same, hashed]
-    groups = materialize(rows.groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.count("*").alias("__cairn_n")).where("__cairn_n > 1").toDF(*(f"__cairn_g{i}" for i in range(len(names))), "__cairn_n"), "mixing-repeated")
+    groups = materialize(rows.groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.count("*").alias("__cairn_n")).where("__cairn_n > 1").toDF(*(f"__cairn_g{i}" for i in range(len(names))), "__cairn_n"), "mixing-repeated", narrow=True)
     if groups.isEmpty():
         discard(groups)
         return rows

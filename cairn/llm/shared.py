@@ -23,6 +23,7 @@ __all__ = ["components", "discard", "fresh_dir", "give_back", "materialize", "nu
 
 #: Rows and bytes that go to Python at once: texts are long, and a batch is in memory on both sides.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+NARROW = 16
 SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 
 
@@ -58,8 +59,14 @@ def give_back() -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    ``narrow``: rows of a few numbers, made behind a shuffle.  They are written by a sixteenth as many
+    tasks as there are shuffle partitions (eight at least), as many small files cost more than their content.
+    """
+    if narrow:
+        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW))
     return session.stored(df, label)
 
 
@@ -78,18 +85,18 @@ def components(edges: DataFrame, a: str, b: str, label: str = "components") -> D
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
     graph = edges.where(F.col(a) != F.col(b)).select(lo.alias("u"), hi.alias("v")).distinct()
-    graph = materialize(graph, f"{label}-edges")
+    graph = materialize(graph, f"{label}-edges", narrow=True)
     maps: list[DataFrame] = []
     while not graph.isEmpty():
         both = graph.union(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c, salt=len(maps): F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("id"))
         best = both.groupBy("u").agg(F.min(rank("v")).alias("m"))
-        step = materialize(best.select("u", F.least("m", rank("u"))["id"].alias("to")), f"{label}-map")
+        step = materialize(best.select("u", F.least("m", rank("u"))["id"].alias("to")), f"{label}-map", narrow=True)
         maps.append(step)
         left, right = step.toDF("u", "tu"), step.toDF("v", "tv")
         moved = graph.join(left, "u").join(right, "v").where("tu != tv")
         moved = moved.select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct()
-        old, graph = graph, materialize(moved, f"{label}-edges")
+        old, graph = graph, materialize(moved, f"{label}-edges", narrow=True)
         discard(old)
     if not maps:
         return graph.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -97,8 +104,8 @@ def components(edges: DataFrame, a: str, b: str, label: str = "components") -> D
     while maps:
         below = found.toDF("to", "end")
         step = maps.pop()
-        old, found = (found, step), materialize(step.join(below, "to", "left").select("u", F.coalesce("end", "to").alias("to")), f"{label}-map")
+        old, found = (found, step), materialize(step.join(below, "to", "left").select("u", F.coalesce("end", "to").alias("to")), f"{label}-map", narrow=True)
         for x in old:
             discard(x)
-    least = materialize(found.groupBy("to").agg(F.min("u").alias("root")), f"{label}-roots")
-    return materialize(found.join(least, "to").select(F.col("u").alias("node"), "root"), label)
+    least = materialize(found.groupBy("to").agg(F.min("u").alias("root")), f"{label}-roots", narrow=True)
+    return materialize(found.join(least, "to").select(F.col("u").alias("node"), "root"), label, narrow=True)

@@ -144,7 +144,7 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     probes = F.concat(*(_of_table(_probed(_segment(F.col("fp"), s), radius), s) for s in range(SEGMENTS)))
     met = spread.select("fp", F.explode(probes).alias("key")).groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
-    met = materialize(met.where("n > 1"), "simhash-keys")
+    met = materialize(met.where("n > 1"), "simhash-keys", narrow=True)
     two = met.where("n = 2").select("a", "b").where(_near(F.col("a"), F.col("b"), distance))
     # what a table entry with more fingerprints was looked up by
     table = nodes.select("fp", F.explode(F.concat(*(_of_table(F.array(_segment(F.col("fp"), s)), s) for s in range(SEGMENTS)))).alias("own"))
@@ -165,18 +165,18 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     if distance % 2:  # a group is bounded by the size of a ball
         parts = _verified(dense.groupBy("key", "between").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1), distance)
     else:  # all of a group are within the distance of each other
-        least = materialize(dense.groupBy("key", "between").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-dense")
+        least = materialize(dense.groupBy("key", "between").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-dense", narrow=True)
         parts = dense.join(least, ["key", "between"]).select("a", F.col("fp").alias("b")).where("a != b").where(_near(F.col("a"), F.col("b"), distance))
     return two.union(_verified(few, distance)).union(parts).distinct()
 
 
 def classes(marked: DataFrame, id_col: str, distance: int) -> DataFrame:
     """``(fp, component)`` for the distinct fingerprints of ``marked``; component: the least id of the component."""
-    nodes = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes")
+    nodes = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes", narrow=True)
     roots = components(links(nodes, distance), "a", "b", "simhash").toDF("fp", "root")
-    rooted = materialize(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
-    return materialize(rooted.join(least, "root").select("fp", "component"), "simhash-classes")
+    rooted = materialize(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted", narrow=True)
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "simhash-least", narrow=True)
+    return materialize(rooted.join(least, "root").select("fp", "component"), "simhash-classes", narrow=True)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
@@ -246,7 +246,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     drawn = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"]
     found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), drawn.alias("c"))
-    return materialize(found.where("n > 1"), "simhash-buckets")
+    return materialize(found.where("n > 1"), "simhash-buckets", narrow=True)
 
 
 def candidates(nodes: DataFrame, met: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def _sets(rows: DataFrame, asked: DataFrame, row: str, text: str, shingle: int)
             sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
-    texts = rows.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text")).join(materialize(asked, "simhash-asked").hint("merge"), "row")
+    texts = rows.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text")).join(materialize(asked, "simhash-asked", narrow=True).hint("merge"), "row")
     return materialize(texts.select("node", "text").mapInArrow(run, "node long, hashes binary"), "simhash-hashes")
 
 
@@ -387,24 +387,24 @@ def keep_one_similar(df: DataFrame, text: str = "text", shingle: int = 5, least:
     row = "__cairn_row"
     rows = numbered(df, row, "simhash-rows")
     marked = materialize(_marks(rows, row, text, shingle), "simhash-marks")
-    nodes = materialize(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "simhash-sets")
+    nodes = materialize(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "simhash-sets", narrow=True)
     met = buckets(nodes)
-    pairs = materialize(_alike(candidates(nodes, met), nodes, least), "simhash-candidates")
-    large = materialize(nodes.select("node", F.explode("keys").alias("key")).join(met.where(F.col("n") > ALL_PAIRS).select("key", "n"), "key"), "simhash-large")
+    pairs = materialize(_alike(candidates(nodes, met), nodes, least), "simhash-candidates", narrow=True)
+    large = materialize(nodes.select("node", F.explode("keys").alias("key")).join(met.where(F.col("n") > ALL_PAIRS).select("key", "n"), "key"), "simhash-large", narrow=True)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct().join(nodes.select("node", "row"), "node")
     sets = _sets(rows, asked, row, text, shingle)
-    linked = materialize(_similar(pairs, sets, least), "simhash-links")
+    linked = materialize(_similar(pairs, sets, least), "simhash-links", narrow=True)
     roots = components(linked, "a", "b", "simhash").toDF("node", "root")
     # keys of many sets: what their three did not join
     large = large.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("component"))
     apart = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    apart = materialize(large.join(apart, "key"), "simhash-apart")
+    apart = materialize(large.join(apart, "key"), "simhash-apart", narrow=True)
     if not apart.isEmpty():
-        linked = materialize(linked.union(_joined(apart, sets, least)), "simhash-links")
+        linked = materialize(linked.union(_joined(apart, sets, least)), "simhash-links", narrow=True)
         roots = components(linked, "a", "b", "simhash").toDF("node", "root")
     firsts = nodes.select("node", "row").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias(row)).select(row)
-    firsts = materialize(firsts, "simhash-firsts")
-    gone = materialize(marked.select(F.col("row").alias(row)).join(firsts, row, "left_anti"), "simhash-gone")
+    firsts = materialize(firsts, "simhash-firsts", narrow=True)
+    gone = materialize(marked.select(F.col("row").alias(row)).join(firsts, row, "left_anti"), "simhash-gone", narrow=True)
     # the rows are joined with the fewer of those that stay and those that go
     stay = rows.join(firsts, row, "left_semi") if firsts.count() < gone.count() else rows.join(gone, row, "left_anti")
     return stay.select(*(F.col(f"`{c}`") for c in df.columns))
