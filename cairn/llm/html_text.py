@@ -13,9 +13,14 @@ article that was published twice or a phrase that some pages have in common.  Wh
 blocks belongs to the text if it is longer than the protected text; otherwise the landmark decides.
 
 A host of over ``HOST_PAGES`` pages or ``HOST_CHARS`` characters is dealt into parts of about that size by
-a hash of the page, and a page that stands there more often by its occurrence too; each part is a
-sample of the host with a suffix array of its own.  So neither a large host nor many copies of a
-page make a large group.  Pages are shuffled once, as blocks of text.
+a hash of the page, and a page that stands there more often by its occurrence too; each part has a
+suffix array of its own.  How many pages have a run is then added up over the host's parts, so a
+text depends on the whole host and not on how it was dealt: a run on ``need`` of the host's pages stands on
+that share of a part's pages at least once.  So each part names the runs on half of that share,
+runs that can't come to ``need`` with what the other parts may have are left out, and the others, which are few
+(a host has at most ``2 / SHARE`` of them for each token of a middling page), are counted in every part.
+Parts know a run by 64 bits of hash.  Neither a large host nor many copies of a page make a large
+group.  Pages are shuffled once, as blocks of text, and that shuffle is read again.
 
 Defined results.  Null or empty html: empty text.  Null url: host "".  Repeated rows are distinct
 pages.  Very long pages are read whole.  Empty table: empty result.  Unclosed and stray tags are read
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +71,8 @@ _tag = re.compile(r"</?[A-Za-z]")
 _attribute = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _hidden = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _word = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: A factor of each place in a run's key.
+_FACTORS = [np.uint64(xxhash.xxh64_intdigest(bytes([i]), 5) | 1) for i in range(MIN_RUN)]
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _host = re.compile(HOST)
 
@@ -162,7 +170,7 @@ def host(url: str | None) -> str:
 
 
 def need(pages: int) -> int:
-    """On how many of a part's pages a run is repeated."""
+    """On how many of a host's pages a run is repeated."""
     return max(LEAST_PAGES, -int(-pages * SHARE // 1))
 
 
@@ -222,25 +230,68 @@ def main_text(page: list[tuple[int, list[str]]], runs: np.ndarray, pages: int) -
         removed += repeated
     if size[PROTECTED] and size[PROTECTED] >= size[OPEN]:
         kept = [x for x in kept if x[0] == PROTECTED]
-    return " ".join(w for _, words, _ in kept for w in words), removed
+    return " ".join([" ".join(words) for _, words, _ in kept if words]), removed
+
+
+def joined(page: list[tuple[int, list[str]]]) -> str:
+    """The words of a page's blocks as one text, with a line feed as a word at each block's edges."""
+    return " ".join(["\n", *(x for _, words in page for x in (" ".join(words), "\n"))])
+
+
+def token_streams(texts: pa.Array) -> tuple[list[np.ndarray], list[str]]:
+    """The pages, given as joined texts, as streams of their tokens' numbers, and the tokens from number 1."""
+    lists = pc.split_pattern(texts, " ")
+    tokens, cuts = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+    return np.split(tokens.indices.to_numpy().astype(np.int64) + 1, cuts[1:-1]), tokens.dictionary.to_pylist()
 
 
 def solve(group: list[list[tuple[int, list[str]]]]) -> list[tuple[str, int]]:
-    """The texts of a host's pages (or of a part of them), given as blocks."""
-    numbers: dict[str, int] = {}
-    streams = []
-    for page in group:
-        values: list[int] = []
-        for _, words in page:
-            values.append(1)
-            values += [numbers.setdefault(w, len(numbers) + 2) for w in words]
-        streams.append(np.array([*values, 1], dtype=np.int64))
+    """The texts of a host's pages, given as blocks."""
+    streams, _ = token_streams(pa.array(list(map(joined, group)), pa.string()))
     runs = run_pages(streams) if len(group) >= LEAST_PAGES else [np.zeros(len(x), dtype=np.int64) for x in streams]
     return [main_text(page, r, len(group)) for page, r in zip(group, runs, strict=True)]
 
 
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word, 3)
+
+
+def run_keys(streams: list[np.ndarray], words: list[str]) -> list[np.ndarray]:
+    """Per page the keys of the runs that begin at its tokens, as far as there are MIN_RUN: the same on every part."""
+    table = np.array([0, *map(_hash, words)], dtype=np.uint64)
+    out = []
+    for stream in streams:
+        tokens, n = table[stream], max(0, len(stream) - MIN_RUN + 1)
+        keys = np.zeros(n, dtype=np.uint64)
+        for k, factor in enumerate(_FACTORS):
+            keys += tokens[k : k + n] * factor
+        out.append(keys.view(np.int64))
+    return out
+
+
+def part_runs(texts: pa.Array, pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and page counts of the runs that have, in this part of a host of ``pages`` pages, half of the share at least."""
+    streams, words = token_streams(texts)
+    keys, counts = [], []
+    for key, r in zip(run_keys(streams, words), run_pages(streams), strict=True):
+        often = 2 * pages * r[: len(key)] >= need(pages) * len(texts)
+        keys.append(key[often])
+        counts.append(r[: len(key)][often])
+    found, at = np.unique(np.concatenate(keys), return_index=True)
+    return found, np.concatenate(counts)[at]
+
+
+def known_runs(own: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per token of a page with the keys ``own``, the count of the run that begins there (0: not among the sorted ``keys``)."""
+    out = np.zeros(len(own) + MIN_RUN - 1, dtype=np.int64)
+    if len(own) and len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        out[: len(own)] = np.where(keys[at] == own, counts[at], 0)
+    return out
+
+
 def _parsed(pages: DataFrame, kind: str) -> DataFrame:
-    """``id, url, host, salt, kinds, blocks``: the pages, read once; words of a block are joined by spaces."""
+    """``id, url, host, salt, kinds, blocks``: the pages, read once; ``blocks`` is their :func:`joined` text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, int] = {}  # copies of a page go to different parts
@@ -253,11 +304,11 @@ def _parsed(pages: DataFrame, kind: str) -> DataFrame:
                 hosts.append(host(url))
                 salts.append(xxhash.xxh64_intdigest(b"%d %d" % (same, met[same])) >> 1)
                 kinds.append(bytes(k for k, _ in found))
-                texts.append([" ".join(words) for _, words in found])
-            columns = [pa.array(hosts, pa.string()), pa.array(salts, pa.int64()), pa.array(kinds, pa.binary()), pa.array(texts, pa.list_(pa.string()))]
+                texts.append(joined(found))
+            columns = [pa.array(hosts, pa.string()), pa.array(salts, pa.int64()), pa.array(kinds, pa.binary()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "url", "host", "salt", "kinds", "blocks"])
 
-    return pages.mapInArrow(run, f"id {kind}, url string, host string, salt long, kinds binary, blocks array<string>")
+    return pages.mapInArrow(run, f"id {kind}, url string, host string, salt long, kinds binary, blocks string")
 
 
 def host_column(url: Column) -> Column:
@@ -265,6 +316,55 @@ def host_column(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
+def _page(kinds: bytes, text: str) -> list[tuple[int, list[str]]]:
+    return list(zip(kinds, (b.split(" ") for b in text[2:-2].split(" \n ")), strict=True)) if kinds else []
+
+
+def _groups(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Table]:
+    """The sorted rows by host and part: hosts of one part, or else the parts of the others."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        one = pc.equal(batch.column("parts"), 1)
+        batch = batch.filter(one if whole else pc.invert(one))
+        keys = list(zip(batch.column("host").to_pylist(), batch.column("part").to_pylist(), strict=True))
+        start = 0
+        for i, key in enumerate(keys):
+            if key != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, key
+        if len(keys) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _listed(runs: DataFrame, large: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``dealt`` with the arrays ``runs`` of its host's ``host, run, n``; each part gets them, so that ``dealt`` need not move."""
+    lists = runs.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("run", "n"))).alias("runs")).join(large, "host")
+    lists = lists.select("host", "runs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return dealt.join(lists.hint("merge"), ["host", "part"], "left").select(*dealt.columns, F.col("runs.run").alias("run"), F.col("runs.n").alias("n"))
+
+
+def _by_page(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Per batch the rows of hosts of several parts, their keys and the counts of known runs."""
+    for batch in batches:
+        batch = batch.filter(pc.greater(batch.column("parts"), 1))
+        lists = [batch.column(c) for c in ("run", "n")]
+        rows = batch.drop_columns(["run", "n"]).to_pylist()
+        out, last = [], None
+        for i, own in enumerate(run_keys(*token_streams(batch.column("blocks"))) if rows else []):
+            if last != rows[i]["host"]:  # all parts of a host have the same lists
+                last = rows[i]["host"]
+                keys, counts = (np.array(x[i].values, dtype=np.int64) if x[i].is_valid else np.zeros(0, dtype=np.int64) for x in lists)
+            out.append((rows[i], own, known_runs(own, keys, counts)))
+        if out:
+            yield out
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Per page: id, url, ``text``, ``n_chars`` and ``n_repeated`` (tokens that are not in the text and lie in repeated runs)."""
     spark = df.sparkSession
@@ -272,29 +372,59 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
     rows = df.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(page).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
     size = F.greatest(F.ceil(F.count("*") / F.lit(HOST_PAGES)), F.ceil(F.sum(F.char_length("html")) / F.lit(HOST_CHARS)))
-    large = rows.groupBy(host_column(F.col("url")).alias("host")).agg(size.cast("long").alias("parts")).where("parts > 1")
+    large = rows.groupBy(host_column(F.col("url")).alias("host")).agg(size.cast("long").alias("parts"), F.count("*").alias("pages")).where("parts > 1")
     large = materialize(large, "html-hosts", narrow=True)
-    placed = _parsed(rows, kind).join(large, "host", "left").withColumn("part", F.pmod("salt", F.coalesce("parts", F.lit(1))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    placed = _parsed(rows, kind).join(large, "host", "left").withColumn("part", F.pmod("salt", parts))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select("host", "part", "id", "url", "kinds", "blocks", parts.alias("parts"), "pages").repartition(n, "host", "part")
+    # nothing is pushed below the shuffle: filters are in Python and joins are outer, so that all that follows reads the same one
+    ordered = dealt.sortWithinPartitions("host", "part")
+    schema = f"id {kind}, url string, text string, n_repeated long"
 
-        def done() -> pa.RecordBatch:
-            found = solve([list(zip(kinds, (b.split(" ") for b in texts), strict=True)) for *_, kinds, texts in held])
-            ids, urls = pa.array([r[2] for r in held], id_type), pa.array([r[3] for r in held], pa.string())
-            return pa.RecordBatch.from_arrays([ids, urls, pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["id", "url", "text", "n_repeated"])
+    def batch_of(rows: list[dict], found: list[tuple[str, int]], id_type: pa.DataType) -> pa.RecordBatch:
+        ids, urls = pa.array([r["id"] for r in rows], id_type), pa.array([r["url"] for r in rows], pa.string())
+        return pa.RecordBatch.from_arrays([ids, urls, pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.int64())], names=["id", "url", "text", "n_repeated"])
 
+    def typed(batches: Iterator[pa.RecordBatch], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_type = batch.schema.field(2).type
-            for r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and r[:2] != held[0][:2]:
-                    yield done()
-                    held = []
-                held.append(r)
-        if held:
-            yield done()
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = placed.select("host", "part", "id", "url", "kinds", "blocks").repartition(n, "host", "part").sortWithinPartitions("host", "part")
-    out = found.mapInArrow(run, f"id {kind}, url string, text string, n_repeated long")
+            types[:] = [batch.schema.field("id").type]
+            yield batch
+
+    def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+        for group in _groups(typed(batches, types), True):
+            held = group.to_pylist()
+            yield batch_of(held, solve([_page(r["kinds"], r["blocks"]) for r in held]), types[0])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, False):
+            host, pages = group["host"][0].as_py(), group["pages"][0].as_py()
+            keys, counts = part_runs(group["blocks"].combine_chunks(), pages)
+            columns = [pa.array([host] * len(keys), pa.string()), pa.array(keys), pa.array(counts), pa.array(np.full(len(keys), len(group), dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "run", "n", "seen"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_page(batches):
+            hosts: dict[str, list[np.ndarray]] = {}
+            for r, own, runs in part:
+                hosts.setdefault(r["host"], []).append(np.unique(own[runs[: len(own)] > 0]))
+            for h, found in hosts.items():
+                keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["host", "run", "n"])
+
+    def dealt_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+        for part in _by_page(typed(batches, types)):
+            yield batch_of([x[0] for x in part], [main_text(_page(r["kinds"], r["blocks"]), runs, r["pages"]) for r, _, runs in part], types[0])
+
+    out = ordered.mapInArrow(whole_texts, schema)
+    if not large.isEmpty():
+        least = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * F.lit(SHARE)))  # as need()
+        runs = ordered.mapInArrow(named, "host string, run long, n long, seen long").groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+        # a part that did not name a run has it on less than half of the share of its pages
+        runs = runs.join(large, "host").where(2 * F.col("pages") * F.col("n") + least * (F.col("pages") - F.col("seen")) >= 2 * F.col("pages") * least).select("host", "run", "n")
+        runs = _listed(runs, large, dealt).mapInArrow(counted, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
+        runs = runs.join(large, "host").where(F.col("n") >= least).select("host", "run", "n")
+        out = out.union(_listed(runs, large, dealt).mapInArrow(dealt_texts, schema))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")

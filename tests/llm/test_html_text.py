@@ -157,3 +157,23 @@ def test_copies_of_a_page_are_dealt(spark, monkeypatch):
     found = H._parsed(spark.createDataFrame(rows, "id long, url string, html string").coalesce(1), "bigint").collect()
     parts = collections.Counter(r["salt"] % 10 for r in found)
     assert len(parts) == 10 and max(parts.values()) < 30
+
+
+def test_texts_do_not_depend_on_how_a_host_is_dealt(spark, monkeypatch):
+    """Runs on a little more and less than the shares, unevenly over the parts: each count is that of the whole host."""
+    rng = random.Random(4)
+    rows = []
+    for h, n in (("a", 60), ("b", 37), ("c", 2)):
+        base, _ = site(n)
+        for i, (_, _, page, _) in enumerate(base):
+            extra = "".join(f"<p>line {k} stands on {k} pages of this host</p>" for k in (2, 3, 4, 5, 6, 18, 19, 30, 31) if i < k)
+            rows.append((len(rows), f"http://{h}.example/{rng.random()}", rng.choice(["<article>%s</article>", "%s"]) % (page + extra) if i % 5 else page + extra))
+    rows.append((len(rows), "http://a.example/empty", "<p>short</p>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    found = {}
+    for limit in (1000, 30, 7, 1):
+        monkeypatch.setattr(H, "HOST_PAGES", limit)
+        found[limit] = sorted(map(tuple, H.extract(df).collect()))
+    assert len(found[1000]) == len(rows) and len({t for _, _, t, _, _ in found[1000]}) > 50
+    for limit in (30, 7, 1):
+        assert found[limit] == found[1000]
