@@ -42,6 +42,8 @@ MASK = (1 << SEGMENT_BITS) - 1
 #: Fingerprints of a table entry that are verified against each other; a dense entry is divided first.
 FEW = 32
 BANDS, BAND_ROWS, ALL_PAIRS, BLOCK = 20, 5, 8, 512
+#: Words of the filter that keeps other texts out of a shuffle: 1 MB of bits.
+FILTER_WORDS = 1 << 17
 _FACTORS = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 7) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 
 
@@ -369,6 +371,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return _ends(pairs, sets, "hashes").mapInArrow(run, "a long, b long")
 
 
+def _hinted(rows: DataFrame, row: str, some: DataFrame) -> DataFrame:
+    """``rows`` with ``__cairn_in``: false only if the row is none of ``some``; by a Bloom filter of at most FILTER_WORDS words that goes to every task."""
+    bit = F.pmod(F.xxhash64(row), F.lit(FILTER_WORDS * 64).cast("long"))
+    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    words = some.select(word.alias("__cairn_word"), mask.alias("mask")).groupBy("__cairn_word").agg(F.bit_or("mask").alias("__cairn_bits"))
+    rows = rows.withColumn("__cairn_word", word).join(F.broadcast(words), "__cairn_word", "left")
+    return rows.withColumn("__cairn_in", F.coalesce(F.col("__cairn_bits").bitwiseAND(mask) != 0, F.lit(False))).drop("__cairn_word", "__cairn_bits")
+
+
 def _sets(rows: DataFrame, asked: DataFrame, row: str, text: str, shingle: int) -> DataFrame:
     """``node, hashes``: the sorted shingle hashes of the nodes ``asked`` (``node, row``); stored."""
 
@@ -377,7 +388,9 @@ def _sets(rows: DataFrame, asked: DataFrame, row: str, text: str, shingle: int)
             sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
-    texts = rows.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text")).join(materialize(asked, "simhash-asked", narrow=True).hint("merge"), "row")
+    asked = materialize(asked, "simhash-asked", narrow=True)
+    texts = rows.select(F.col(row).alias("row"), F.col(text).cast("binary").alias("text"))
+    texts = _hinted(texts, "row", asked).where("__cairn_in").drop("__cairn_in").join(asked.hint("merge"), "row")
     return materialize(texts.select("node", "text").mapInArrow(run, "node long, hashes binary"), "simhash-hashes")
 
 
@@ -405,6 +418,10 @@ def keep_one_similar(df: DataFrame, text: str = "text", shingle: int = 5, least:
     firsts = nodes.select("node", "row").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias(row)).select(row)
     firsts = materialize(firsts, "simhash-firsts", narrow=True)
     gone = materialize(marked.select(F.col("row").alias(row)).join(firsts, row, "left_anti"), "simhash-gone", narrow=True)
-    # the rows are joined with the fewer of those that stay and those that go
-    stay = rows.join(firsts, row, "left_semi") if firsts.count() < gone.count() else rows.join(gone, row, "left_anti")
+    # only the fewer of those that stay and those that go are shuffled
+    if firsts.count() < gone.count():
+        stay = _hinted(rows, row, firsts).where("__cairn_in").join(firsts, row, "left_semi")
+    else:
+        hinted = _hinted(rows, row, gone)
+        stay = hinted.where("not __cairn_in").union(hinted.where("__cairn_in").join(gone, row, "left_anti").select(*hinted.columns))
     return stay.select(*(F.col(f"`{c}`") for c in df.columns))

@@ -236,3 +236,16 @@ def test_distances_beyond_the_balls_are_refused():
     for distance in (-1, 5, 6):
         with pytest.raises(ValueError):
             S.links(None, distance)
+
+
+def test_only_the_rows_asked_for_are_shuffled(spark, monkeypatch):
+    """The filter leaves out nearly all other rows; a full one leaves out none, with the same rows kept."""
+    rows = spark.range(20_000).withColumnRenamed("id", "row")
+    some = spark.range(0, 20_000, 100).withColumnRenamed("id", "row")
+    found = {r["row"] for r in S._hinted(rows, "row", some).where("__cairn_in").collect()}
+    assert {r["row"] for r in some.collect()} <= found and len(found) < 300
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    kept = sorted(map(repr, S.keep_one_similar(docs).collect()))
+    monkeypatch.setattr(S, "FILTER_WORDS", 1)
+    assert 0 < len(kept) < docs.count() and sorted(map(repr, S.keep_one_similar(docs).collect())) == kept
+    assert sorted(map(repr, S.keep_one_similar(docs.union(docs).union(docs).coalesce(1)).collect())) == kept  # most rows go
