@@ -22,16 +22,19 @@ A pair of sets at 0.8 meets in no table with a probability of 0.00003, one of fo
 where the share of bits is 19 %, with 0.01.  What meets is verified by a word of its own and then by the complete
 distance (a pair at 0.8 is beyond with a probability of 0.00004), and
 each other pair on the complete sets.  All pairs of an entry that at most ``ALL_PAIRS`` different sets look up are
-candidates; of larger ones (keys below) each set meets three first.  Where that leaves a key's
-sets in more than one component, they are compared in blocks, without a list of pairs: of two sets
-of that similarity, one of the rarest elements of each is common, and sets of one component need no
-comparison.  So no key loses a link between components, and no group makes a square of pairs.
+candidates; what larger entries of a table connect is one group of it, of which each set is written once.
+Sets that pairs and groups connect are a family.  One of at most ``BLOCK`` sets is compared in one place, without
+a list of pairs: of two sets of that similarity, one of the rarest elements of each is common, and sets of one
+component need no comparison.  A larger family is first divided: its fingerprints meet in blocks and are compared by
+their complete distance, which gives smaller families.  What is still larger is joined by each set's nearest pair
+and then compared in blocks of sets; blocks of the same component do not meet, so the many copies of a text are
+sent once to each block of other components.  No family loses a link between components.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -282,16 +285,14 @@ def _print_rows(prints: pa.Array) -> np.ndarray:
 
 
 def meetings(low: np.ndarray, node: np.ndarray, word: np.ndarray, bits: int, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one table: pairs ``a < b`` that meet in an entry, as far as their words differ in ``far`` bits at most, and ``entry, node`` of larger entries."""
-    n, pairs, dense = len(low), [], []
+    """Of one table: pairs ``a < b`` that meet in an entry, as far as their words differ in ``far`` bits at most, and ``node, first`` of what larger entries connect.
+
+    Pairs that larger entries connect anyway are left out.
+    """
+    n, pairs, dense, starts_at = len(low), [], [], 0
     low = low.astype(np.uint64)
     split = max(0, (n * (bits + 1) >> 22).bit_length())  # entries are taken in ranges of bounded size
     index = np.arange(n, dtype=np.uint64)
-
-    def near(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (np.bitwise_count(word[i] ^ word[j]) <= far) & (i != j)
-        pairs.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
-
     for part in range(1 << split):
         found = []
         for flip in (0, *(1 << k for k in range(bits))):
@@ -305,18 +306,43 @@ def meetings(low: np.ndarray, node: np.ndarray, word: np.ndarray, bits: int, far
         few = np.repeat(sizes <= ALL_PAIRS, sizes)
         for lag in range(1, ALL_PAIRS):
             at = np.flatnonzero((value[lag:] == value[:-lag]) & few[lag:])
-            near(who[at], who[at + lag])
+            i, j = who[at], who[at + lag]
+            ok = (np.bitwise_count(word[i] ^ word[j]) <= far) & (i != j)
+            pairs.append(np.stack([i[ok], j[ok]], axis=1))
         many = sizes > ALL_PAIRS
-        at = np.flatnonzero(~few)
-        for third in (0, sizes // 2, sizes - 1):
-            near(np.repeat(who[(starts + third)[many]], sizes[many]), who[at])
-        dense.append(np.stack([value[at].view(np.int64), node[who[at]]], axis=1))
-    both, entry = np.unique(np.concatenate(pairs), axis=0), np.concatenate(dense)
-    return both[:, 0], both[:, 1], entry[:, 0], entry[:, 1]
+        dense.append(np.stack([np.repeat(np.arange(many.sum()) + starts_at, sizes[many]), who[~few]], axis=1))
+        starts_at += int(many.sum())
+    group = _groups(np.concatenate(dense), n)
+    both = np.concatenate(pairs)
+    x, y = group[both[:, 0]], group[both[:, 1]]
+    both = both[(x != y) | (x < 0)]
+    both = np.unique(np.sort(node[both], axis=1), axis=0)
+    of = np.flatnonzero(group >= 0)
+    return both[:, 0], both[:, 1], node[of], node[group[of]]
+
+
+def _groups(dense: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` the least that the entries ``entry, member`` connect it with, by increasing entries; -1 for those in none."""
+    label = np.arange(n)
+    entry, who = dense[:, 0], dense[:, 1]
+    starts = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])) if len(entry) else entry
+    while len(entry):
+        least = np.repeat(np.minimum.reduceat(label[who], starts), np.diff(np.append(starts, len(entry))))
+        after = label.copy()
+        np.minimum.at(after, label[who], least)  # the whole group of a member follows it
+        np.minimum.at(after, who, least)
+        while (after[after] != after).any():
+            after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    inside = np.zeros(n, dtype=bool)
+    inside[who] = True
+    return np.where(inside, label, -1)
 
 
 def met_in_tables(nodes: DataFrame, least: float, top: int, low: int, tables: int) -> DataFrame:
-    """``key, a, b``: without a key, pairs of nodes that meet in a table; with one, a node ``a`` of an entry that ``b`` nodes look up."""
+    """``key, a, b``: without a key, pairs of nodes that meet in a table; with one, a node ``a`` that larger entries of the table connect with ``b``."""
     n, width, far = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), top + low, farthest(64, _differ(least) + 0.036)
     names = ["part", "low", "node", "word"]
 
@@ -343,11 +369,9 @@ def met_in_tables(nodes: DataFrame, least: float, top: int, low: int, tables: in
 
         def done() -> Iterator[pa.RecordBatch]:
             value, node, word = (np.frombuffer(b"".join(r[c] for r in held), dtype=k) for c, k in ((1, "<u4"), (2, "<i8"), (3, "<u8")))
-            a, b, entry, of = meetings(value, node, word, low, far)
+            a, b, of, first = meetings(value, node, word, low, far)
             yield from pa.Table.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["key", "a", "b"]).to_batches(1 << 16)
-            same, count = np.unique(entry, return_inverse=True, return_counts=True)[1:]
-            key = entry + (np.int64(held[0][0]) << 32)
-            yield from pa.Table.from_arrays([pa.array(key), pa.array(of), pa.array(count[same].astype(np.int64))], names=["key", "a", "b"]).to_batches(1 << 16)
+            yield from pa.Table.from_arrays([pa.array(np.full(len(of), held[0][0], dtype=np.int64)), pa.array(of), pa.array(first)], names=["key", "a", "b"]).to_batches(1 << 16)
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -407,20 +431,36 @@ def joining_links(sets: list[np.ndarray], component: list[int], side: list[int],
     return out
 
 
-def _joined(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links ``a, b`` between the components of the nodes of ``key, node, component, n``; a key's blocks meet in pairs."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets, "node")
+def _dealt(members: DataFrame) -> DataFrame:
+    """``key, i, j, block, node, component``: the nodes of ``key, node, component`` in blocks of about BLOCK, a copy for each pair ``i <= j`` of blocks of a key that meet.
+
+    A component of over BLOCK nodes has blocks of its own, which do not meet each other.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    small = sizes.groupBy("key").agg(F.coalesce(F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))), F.lit(0)).alias("small"))
+    sizes = sizes.join(small, "key").select("key", "component", (F.col("c") > BLOCK).alias("own"), F.ceil(F.greatest(F.when(F.col("c") > BLOCK, F.col("c")).otherwise(F.col("small")), F.lit(1)) / BLOCK).alias("blocks"))
+    rows = members.join(sizes, ["key", "component"])
+    lump = F.when(F.col("own"), F.col("component").cast("string")).otherwise("")
+    number = F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("component")), F.col("blocks"))
+    rows = materialize(rows.select("key", "node", "component", lump.alias("lump"), F.concat_ws("/", lump, number.cast("string")).alias("block")), "simhash-blocks", narrow=True)
+    blocks = rows.select("key", "lump", "block").distinct()
+    pairs = blocks.toDF("key", "x", "i").join(blocks.toDF("key", "y", "j"), "key").where("i <= j and (x != y or x = '')").select("key", "i", "j")
+    pairs = materialize(pairs, "simhash-meeting", narrow=True)
+    both = pairs.select("key", F.col("i").alias("block"), "i", "j").union(pairs.where("i < j").select("key", F.col("j").alias("block"), "i", "j"))
+    return rows.join(both, ["key", "block"]).select("key", "i", "j", "block", "node", "component")
+
+
+def _in_place(rows: DataFrame, values: DataFrame, kernel: Callable[[list[bytes], list[int], list[str]], list[tuple[int, int, int]]]) -> DataFrame:
+    """``a, b, away``: what ``kernel`` finds among the nodes of each ``key, i, j``, by their values (``node, value``), components and blocks."""
+    group = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            found = joining_links([np.frombuffer(r[6], dtype="<u8") for r in held], [r[5] for r in held], [r[3] for r in held], least)
+            found = kernel([r[6] for r in held], [r[5] for r in held], [r[3] for r in held])
             nodes = [r[4] for r in held]
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([nodes[i] for i, _, _ in found], [nodes[j] for _, j, _ in found], [d for _, _, d in found])], names=["a", "b", "away"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -431,9 +471,50 @@ def _joined(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if held:
             yield done()
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = ["key", "i", "j"]
-    return rows.repartition(n, *group).sortWithinPartitions(*group).select(*group, "block", "node", "component", "hashes").mapInArrow(run, "a long, b long")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.join(values.hint("merge"), "node").select(*group, "block", "node", "component", "value")
+    return rows.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long, away long")
+
+
+def _joined(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` between the components of the nodes of each ``key, i, j``."""
+
+    def kernel(values: list[bytes], component: list[int], side: list[str]) -> list[tuple[int, int, int]]:
+        return [(i, j, 0) for i, j in joining_links([np.frombuffer(v, dtype="<u8") for v in values], component, side, least)]
+
+    return _in_place(rows, sets.withColumnRenamed("hashes", "value"), kernel).select("a", "b")
+
+
+def near_forest(prints: np.ndarray, side: list[str], least: float) -> list[tuple[int, int, int]]:
+    """Fingerprints, with the sizes of their sets behind, that are as near as those of sets of that similarity:
+    pairs ``i, j, away`` that connect what such pairs connect, and the nearest of each.  If there are two sides, only pairs of different sides count.
+    """
+    sides, of = np.unique(np.array(side), return_inverse=True)
+    sizes, prints = prints[:, -1].astype(np.int64), prints[:, :-1]
+    n, bits = len(prints), 64 * prints.shape[1]
+    far, farther = farthest(bits, _differ(least) + 0.006), farthest(bits, _differ(least) + 0.036)
+    away = np.empty((n, n), dtype=np.int32)
+    for i in range(n):
+        d = np.bitwise_count(prints[i] ^ prints).sum(axis=1, dtype=np.int32)
+        small, large = np.minimum(sizes[i], sizes), np.maximum(sizes[i], sizes)
+        off = (d > np.where(small < 5, farther, far)) | (small < least * large - 1e-9)
+        if len(sides) > 1:
+            off |= of == of[i]
+        d[off] = bits + 1
+        d[i] = bits + 1
+        away[i] = d
+    out = [(i, int(j), int(away[i, j])) for i, j in enumerate(away.argmin(axis=1)) if away[i, j] <= bits]
+    fresh = np.ones(n, dtype=bool)
+    for first in range(n):
+        todo = [first] if fresh[first] else []
+        fresh[first] = False
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(fresh & (away[i] <= bits))
+            fresh[found] = False
+            out += [(i, int(j), int(away[i, j])) for j in found]
+            todo += found.tolist()
+    return out
 
 
 def _ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -496,24 +577,24 @@ def _sets(rows: DataFrame, asked: DataFrame, row: str, text: str, shingle: int)
     return materialize(texts.select("node", "text").mapInArrow(run, "node long, hashes binary"), "simhash-hashes")
 
 
-def _of_big_families(linked: DataFrame, pairs: DataFrame, large: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``linked`` and the links of families that are too large for one place, by pairs and by the keys of many sets."""
+def _families(edges: DataFrame) -> DataFrame:
+    """``key, node, n``: the nodes that ``a, b`` connect, by family, and the size of the family; stored."""
+    family = components(edges, "a", "b", "simhash").toDF("node", "key")
+    return materialize(family.join(family.groupBy("key").agg(F.count("*").alias("n")), "key"), "simhash-families", narrow=True)
+
+
+def _in_one(family: DataFrame) -> DataFrame:
+    """Families in one place each, as :func:`_dealt` gives them; every node is a component."""
+    return family.select("key", F.lit("").alias("i"), F.lit("").alias("j"), F.lit("").alias("block"), "node", F.col("node").alias("component"))
 
-    def rooted() -> DataFrame:
-        roots = components(linked, "a", "b", "simhash").toDF("node", "root")
-        return materialize(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-rooted", narrow=True)
 
-    # the nearest pair of each set first, then what is still in two components
-    nearest = pairs.groupBy("a").agg(F.min(F.struct("away", "b"))["b"].alias("b")).union(pairs.groupBy("b").agg(F.min(F.struct("away", "a"))["a"].alias("a")).select("a", "b")).distinct()
-    linked = materialize(linked.union(_similar(nearest, sets, least)), "simhash-links", narrow=True)
-    rest = _ends(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), rooted(), "root").where("x != y").select("a", "b")
-    linked = materialize(linked.union(_similar(rest, sets, least)), "simhash-links", narrow=True)
-    # keys of many sets: what their three did not join
-    large = large.join(rooted(), "node").select("key", "node", F.col("root").alias("component"))
-    apart = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all")).where("lo != hi")
-    apart = apart.groupBy("n", "all").agg(F.min("key").alias("key")).select("key", "n")  # of keys with the same sets, one
-    apart = materialize(large.join(apart, "key"), "simhash-apart", narrow=True)
-    return materialize(linked.union(_joined(apart, sets, least)), "simhash-links", narrow=True)
+def _of_big_families(family: DataFrame, near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links of families that are too large for one place: by the nearest of each set, then in blocks."""
+    nearest = near.join(family.select(F.col("node").alias("a")), "a", "left_semi").groupBy("a").agg(F.min(F.struct("away", "b"))["b"].alias("b"))
+    linked = materialize(_similar(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, least), "simhash-links", narrow=True)
+    roots = components(linked, "a", "b", "simhash").toDF("node", "component")
+    members = family.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    return linked.union(materialize(_joined(_dealt(members), sets, least), "simhash-links", narrow=True))
 
 
 def keep_one_similar(df: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -526,18 +607,21 @@ def keep_one_similar(df: DataFrame, text: str = "text", shingle: int = 5, least:
     nodes = materialize(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp")), "simhash-sets", narrow=True)
     met = materialize(met_in_tables(nodes, least, top, low, tables), "simhash-met")
     pairs = materialize(_alike(met.where("key IS NULL").select("a", "b").distinct(), nodes, least), "simhash-candidates", narrow=True)
-    large = met.where("key IS NOT NULL").select("key", F.col("b").alias("n"), F.col("a").alias("node"))
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct().join(nodes.select("node", "row"), "node")
-    sets = _sets(rows, asked, row, text, shingle)
-    # sets that candidates connect: a family of at most BLOCK is compared in one place
-    stars = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b"))
-    family = components(pairs.select("a", "b").union(stars), "a", "b", "simhash").toDF("node", "key")
-    family = materialize(family.join(family.groupBy("key").agg(F.count("*").alias("n")), "key"), "simhash-families", narrow=True)
-    linked = materialize(_joined(family.where(F.col("n") <= BLOCK).withColumn("component", F.col("node")), sets, least), "simhash-links", narrow=True)
-    big = family.where(F.col("n") > BLOCK).select("node")
+    # sets that candidates connect: a family of at most BLOCK is compared in one place, a larger one divided by its fingerprints
+    family = _families(pairs.select("a", "b").union(met.where("key IS NOT NULL").select("a", "b")).distinct())
+    big, family = family.where(F.col("n") > BLOCK), family.where(F.col("n") <= BLOCK)
+    near = None
     if not big.isEmpty():
-        pairs, large = pairs.join(big.withColumnRenamed("node", "a"), "a", "left_semi"), large.join(big, "node", "left_semi")
-        linked = _of_big_families(linked, pairs, large, nodes, sets, least)
+        prints = nodes.select("node", F.col("fp").alias("value")).join(big.select("node"), "node", "left_semi")
+        kernel = lambda values, component, side: near_forest(np.frombuffer(b"".join(values), dtype="<u8").reshape(len(values), -1), side, least)
+        near = materialize(_in_place(_dealt(big.select("key", "node", F.col("node").alias("component"))), prints, kernel), "simhash-near", narrow=True)
+        parts = _families(near.select("a", "b"))
+        big, family = parts.where(F.col("n") > BLOCK), family.union(parts.where(F.col("n") <= BLOCK))
+    asked = (family if near is None else family.union(big)).select("node").join(nodes.select("node", "row"), "node")
+    sets = _sets(rows, asked, row, text, shingle)
+    linked = materialize(_joined(_in_one(family), sets, least), "simhash-links", narrow=True)
+    if near is not None and not big.isEmpty():
+        linked = linked.union(_of_big_families(big, near, sets, least))
     roots = components(linked, "a", "b", "simhash").toDF("node", "root")
     firsts = nodes.select("node", "row").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias(row)).select(row)
     firsts = materialize(firsts, "simhash-firsts", narrow=True)

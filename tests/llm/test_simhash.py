@@ -285,3 +285,70 @@ def test_plan_grows_slowly_with_the_rows():
     plans = [S.plan(10**k, 0.8) for k in range(10)]
     assert all(a <= b for a, b in zip(plans, plans[1:], strict=False)) and plans[5] == (0, 28, 54)
     assert S.plan(10**5, 0.5)[2] > 54
+
+
+def test_large_groups_of_near_copies_make_no_list_of_pairs(spark):
+    """Of 400 near copies what meets is written once a table and set, as groups, and connects all of them."""
+    rng = np.random.default_rng(11)
+    top, low, tables = S.plan(1000, 0.8)
+    words = S.plan_words(top, low, tables)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.02], rng.integers(0, 1 << 63, 6).astype(np.uint64)])) for _ in range(400)]
+    rows = [(i, bytearray(S.long_fingerprint(x, words).tobytes() + len(x).to_bytes(8, "little"))) for i, x in enumerate(sets)]
+    met = S.met_in_tables(spark.createDataFrame(rows, "node long, fp binary"), 0.8, top, low, tables).collect()
+    assert len(met) < 2 * tables * len(sets)
+    root = list(range(len(sets)))
+    for r in met:
+        a, b = r["a"], r["b"]
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    assert sum(root[i] == i for i in range(len(sets))) == 1
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    """Every pair of nodes of different components meets in one place, and the copies of a large component are sent as often as other blocks ask."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    component = {i: 0 if i < 400 else 1 if i < 430 else i for i in range(450)}
+    rows = [(7, i, c) for i, c in component.items()] + [(8, 1000 + i, 1000) for i in range(100)]
+    dealt = S._dealt(spark.createDataFrame(rows, "key long, node long, component long")).collect()
+    places = {}
+    for r in dealt:
+        assert r["key"] == 7 and r["component"] == component[r["node"]]
+        places.setdefault((r["i"], r["j"]), []).append((r["node"], r["block"]))
+    met = [frozenset((x, y)) for p in places.values() for k, (x, a) in enumerate(p) for y, b in p[:k] if component[x] != component[y] and (a != b or len({c for _, c in p}) == 1)]
+    want = {frozenset((x, y)) for x in component for y in range(x) if component[x] != component[y]}
+    assert set(met) == want and len(met) == len(want)
+    assert len(dealt) < 450 * 6 + 50 * 30
+
+
+def test_forest_connects_what_near_fingerprints_connect():
+    rng = np.random.default_rng(2)
+    for turn in range(10):
+        prints = rng.integers(0, 1 << 62, (6, 24)).astype(np.uint64)[rng.integers(0, 6, 60)]
+        for _ in range(4):  # few bits apart, or by chains
+            prints[np.arange(60), rng.integers(0, 24, 60)] ^= rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        sizes = rng.integers(80, 110, 60).astype(np.uint64)
+        side = ["x" if turn % 2 and k % 2 else "y" for k in range(60)]
+        far = S.farthest(64 * 24, S._differ(0.8) + 0.006)
+        away = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+        near = (away <= far) & (np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes) - 1e-9) & ~np.eye(60, dtype=bool)
+        if turn % 2:
+            near &= np.array(side)[:, None] != np.array(side)
+        found = S.near_forest(np.column_stack([prints, sizes]), side, 0.8)
+        assert all(near[i, j] and away[i, j] == d for i, j, d in found) and len(found) < 120
+
+        def reach(edges):
+            seen = np.eye(60, dtype=bool) | edges | edges.T
+            for _ in range(7):
+                seen = (seen.astype(int) @ seen.astype(int)) > 0
+            return seen
+
+        edges = np.zeros((60, 60), dtype=bool)
+        for i, j, _ in found:
+            edges[i, j] = True
+        assert (reach(edges) == reach(near)).all()
+        best = {i: min(d for k, _, d in found if k == i) for i in np.flatnonzero(near.any(axis=1)).tolist()}
+        assert all(d == away[i][near[i]].min() for i, d in best.items())
