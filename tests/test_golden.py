@@ -1,5 +1,6 @@
 """Golden values and scenarios of byte layouts, logs, filters, sketches, cursors and the policy."""
 
+import io
 import random
 import zlib
 
@@ -82,6 +83,51 @@ def test_log_files(spark, tmp_path):
     assert [(r["pos"], r["status"], len(r["record"])) for r in rows] == [(0, "OK", 3), (1, "OK", 40_000)]
 
 
+def test_log_is_read_a_frame_at_a_time():
+    """The first record is there before the file has been read beyond its frame and the next header."""
+
+    class Counted(io.BytesIO):
+        asked = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            Counted.asked += len(out)
+            return out
+
+    records = [bytes([i]) * 50_000 for i in range(40)]
+    found = wal.scan_log(Counted(wal.write_log(records)))
+    assert next(found) == ("OK", records[0]) and Counted.asked < 60_000
+    assert [r for _, r in found] == records[1:]
+
+
+def test_log_files_larger_than_a_batch_and_odd_names(spark, tmp_path):
+    """Logs over several stored files, empty ones, a null name beside an empty one; read from a path with odd characters, in small batches."""
+    rng = random.Random(8)
+    rows = [(name, i, rng.randbytes(rng.choice([0, 1, 900, 70_000]))) for name, n in ((None, 7), ("", 5), ("hot", 300), ("zü", 1)) for i in range(n)] + [("none", 1, b""), ("none", 2, None)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "log string, pos long, record binary")
+    folder = f"file://{tmp_path}/of%20logs"
+    written = {r["log"]: r for r in wal.write_files(df, "log", "pos", "record", folder).collect()}
+    for name in (None, "", "hot", "zü"):
+        want = wal.write_log([d for k, _, d in rows if k == name])
+        with open(written[name]["path"], "rb") as f:
+            assert f.read() == want and written[name]["bytes"] == len(want)
+    assert len(written) == 4
+    odd = tmp_path / "a b%20c"
+    (tmp_path / "of logs").rename(odd)
+    for streams in (True, False):
+        held, wal._streams = wal._streams, (wal._streams if streams else lambda spark, path: False)
+        try:
+            found = wal.read_files(spark, f"{odd}/*.log")
+            by = {}
+            for r in found.collect():
+                by.setdefault(r["path"].rpartition("/")[2], {})[r["pos"]] = (r["status"], bytes(r["record"]))
+        finally:
+            wal._streams = held
+        for name, file in written.items():
+            assert [by[file["path"].rpartition("/")[2]][i] for i in range(len(by[file["path"].rpartition("/")[2]]))] == [("OK", d) for k, _, d in rows if k == name and d]
+    assert wal._streams(spark, f"{odd}/*.log") and not wal._streams(spark, f"{odd}-none")
+
+
 def test_seeks(spark):
     df = keys(spark)
     want = {"abf": "abf", "ab{": None, "aaa": "aba", "ab": "aba", "abc": "abc"}
