@@ -4,6 +4,7 @@ import io
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,22 @@ def test_log_files_larger_than_a_batch_and_odd_names(spark, tmp_path):
     assert wal._streams(spark, f"{odd}/*.log") and not wal._streams(spark, f"{odd}-none")
 
 
+def test_frames_go_through_python_in_bounded_batches(spark):
+    """Frames' places need no records; batches with records are small both ways."""
+    from cairn.plans import catalog
+
+    rows = [("a" if i % 3 else None, i, None if i == 5 else bytes([i % 251]) * (i * 97 % 40_000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "log string, pos long, record binary")
+    full, places = wal.frames(df, "log", "pos", "record"), wal.frames(df, "log", "pos", "record", payload=False)
+    assert places.columns == full.columns[:-2] and sorted(map(str, places.collect())) == sorted(map(str, full.drop("crc", "payload").collect()))
+    assert 0 < int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).removesuffix("b")) <= 4 << 20
+    plan = catalog.QUERIES["wal_frames"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "octet_length" in plan and "payload" not in plan
+    schema = pa.schema([("pos", pa.int64()), ("payload", pa.binary())])
+    found = list(wal.batched(((i, b"x" * 900_000) for i in range(20)), schema, "payload"))
+    assert [b.num_rows for b in found] == [5] * 4
+
+
 def test_seeks(spark):
     df = keys(spark)
     want = {"abf": "abf", "ab{": None, "aaa": "aba", "ab": "aba", "abc": "abc"}
