@@ -7,17 +7,23 @@ combining, so no executor holds it whole; a small one can be packed into bytes.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import codec
+from cairn.session import ship
 
 #: Fixed values of the hash: seed and multiplier.
 SEED, FACTOR = 0xBC9F1D34, 0xC6A4A793
 BITS_PER_KEY = 10
-#: Up to here (1 MB) a filter goes to every task as a whole.
-SMALL_BITS = 1 << 23
+#: Up to here (1 MB) a filter goes to every task as a table, and up to here (64 MB) as an array.
+SMALL_BITS, LARGE_BITS = 1 << 23, 1 << 29
 
 
 def probes(bits_per_key: int = BITS_PER_KEY) -> int:
@@ -85,7 +91,8 @@ def may_contain(probes_: DataFrame, key: str, h: Column, words: DataFrame, bits:
     """``k, may_contain`` for each (distinct) key.
 
     The words of a filter of at most ``SMALL_BITS`` go to every task, and a probe looks up its words
-    there, without a shuffle.  A larger one is joined word by word.
+    there, without a shuffle.  One of at most ``LARGE_BITS`` is collected now and goes to every task as
+    an array, where numpy looks it up.  A larger one is joined word by word.
     """
     if bits <= SMALL_BITS:
         rows = probes_.select(F.col(key).alias("k"), h.alias("_h")).distinct()
@@ -98,12 +105,37 @@ def may_contain(probes_: DataFrame, key: str, h: Column, words: DataFrame, bits:
             bit = F.call_function("shiftrightunsigned", F.col(f"_m{i}"), (F.col(f"_p{i}") % 64).cast("int")).bitwiseAND(1) == 1
             hit = hit & F.coalesce(bit, F.lit(False))
         return rows.select("k", hit.alias("may_contain"))
+    if bits <= LARGE_BITS:
+        return _looked_up(probes_.select(F.col(key).alias("k"), h.cast("long").alias("_h")).distinct(), words, bits, k)
     rows = probes_.select(F.col(key).alias("k"), F.explode(positions(h, F.lit(bits).cast("long"), k)).alias("p"))
     rows = rows.select("k", F.floor(F.col("p") / 64).cast("long").alias("word"), (F.col("p") % 64).cast("int").alias("b")).join(words, "word", "left")
     hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("mask"), F.col("b")).bitwiseAND(1) == 1, F.lit(False))
     return rows.groupBy("k").agg(F.min(hit).alias("may_contain"))
 
 
+def _looked_up(rows: DataFrame, words: DataFrame, bits: int, k: int) -> DataFrame:
+    """``k, may_contain`` of rows ``k, _h``."""
+    spark = rows.sparkSession
+    ship(spark)
+    found = words.select("word", "mask").toArrow()
+    filled = np.zeros((bits + 63) // 64, np.int64)
+    filled[found["word"].to_numpy()] = found["mask"].to_numpy()
+    held = spark.sparkContext.broadcast(filled.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = held.value
+        for batch in batches:
+            h = pc.fill_null(batch.column(1), 0).to_numpy().astype(np.uint64)
+            delta = (h >> 17) | ((h << 15) & codec.M32)
+            hit = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            for i in range(k):
+                p = ((h + i * delta) & codec.M32) % bits
+                hit = hit & ((filter_[p >> 6] >> (p & 63)) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit)], names=["k", "may_contain"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["k"], T.StructField("may_contain", T.BooleanType())]))
+
+
 def pack(words: DataFrame, bits: int, k: int) -> DataFrame:
     """One row with the filter's bytes: bits, then the number of probes.  For filters of one block or file."""
     every = words.sparkSession.range(0, (bits + 63) // 64).withColumnRenamed("id", "word").join(words, "word", "left")

@@ -211,6 +211,23 @@ def test_bloom_contract(spark, n):
     assert by[True] == n and by[False] < 200
 
 
+def test_larger_filters_are_looked_up_without_a_join(spark, monkeypatch):
+    """By table, by array and by join, a filter gives the same answers: of repeated, null and absent keys, also of a filter without keys."""
+    for keys_ in (spark.range(0, 4000, 2).toDF("key"), spark.range(0).toDF("key")):
+        h, k = bloom.hash_int32(F.col("key")), bloom.probes()
+        bits = max(64, (keys_.count() * 10 + 7) // 8 * 8)
+        words = bloom.build(keys_, h, bits, k)
+        probes = spark.range(5000).toDF("key").union(spark.range(50).toDF("key")).union(spark.createDataFrame([(None,), (-7,)], "key long"))
+        by = {}
+        for name, small, large in (("table", 1 << 23, 1 << 29), ("array", 1, 1 << 29), ("join", 1, 1)):
+            monkeypatch.setattr(bloom, "SMALL_BITS", small)
+            monkeypatch.setattr(bloom, "LARGE_BITS", large, raising=False)
+            found = bloom.may_contain(probes, "key", h, words, bits, k)
+            assert name != "array" or "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+            by[name] = sorted(map(tuple, found.collect()), key=str)
+        assert by["array"] == by["table"] == by["join"] and len(by["array"]) == 5002
+
+
 def test_bloom_hash_of_bytes(spark):
     rows = spark.range(2000).select(bloom.hash_int32(F.col("id")).alias("a"), bloom.hash_bytes(codec.encode_fixed32(F.col("id"))).alias("b"))
     assert rows.where("a != b").count() == 0
