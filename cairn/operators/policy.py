@@ -79,18 +79,22 @@ class Admission:
     used: int = 0
     accesses: int = 0
 
-    def access(self, key: int) -> None:
+    def access(self, key: int, times: int = 1) -> None:
         """First sight goes to the doorkeeper, later ones count; all counts halve after ``counters`` accesses."""
-        if key in self.doorkeeper:
-            self.counts[key] = min(COUNTER_MAX, self.counts.get(key, 0) + 1)
-        else:
-            self.doorkeeper.add(key)
-        self.accesses += 1
-        if self.accesses >= self.counters:
-            self.accesses = 0
-            self.doorkeeper.clear()
-            self.counts = {k: c // 2 for k, c in self.counts.items() if c > 1}
-            self._rebuild()
+        while times > 0:
+            n = min(times, max(1, self.counters - self.accesses))  # up to the next halving
+            times -= n
+            self.accesses += n
+            if key not in self.doorkeeper:
+                self.doorkeeper.add(key)
+                n -= 1
+            if n:
+                self.counts[key] = min(COUNTER_MAX, self.counts.get(key, 0) + n)
+            if self.accesses >= self.counters:
+                self.accesses = 0
+                self.doorkeeper.clear()
+                self.counts = {k: c // 2 for k, c in self.counts.items() if c > 1}
+                self._rebuild()
 
     def frequency(self, key: int) -> int:
         return self.counts.get(key, 0) + (key in self.doorkeeper)
@@ -162,38 +166,43 @@ def replay(ops: DataFrame, max_cost: int, shards: int = 1, gets: bool = False) -
     """Replay ``seq, op, key, cost`` (op: add, access, remove, update) in order of ``seq``, a policy per shard.
 
     Rows ``shard, seq, key, event, cost``: admit, reject, update, remove and evict; with ``gets`` also
-    hit or miss for every access, by whether the key is resident.
+    hit or miss for every access, by whether the key is resident.  A column ``times`` says how many equal
+    accesses a row stands for, so that they are shuffled and sorted as one.
     """
     ship(ops.sparkSession)
     share = max(1, max_cost // shards)
-    rows = ops.select(F.pmod("key", F.lit(shards)).cast("long").alias("shard"), F.col("seq").cast("long"), "op", F.col("key").cast("long"), F.col("cost").cast("long"))
+    times = F.col("times") if "times" in ops.columns else F.lit(1)
+    rows = ops.select(F.pmod("key", F.lit(shards)).cast("long").alias("shard"), F.col("seq").cast("long"), "op", F.col("key").cast("long"), F.col("cost").cast("long"), times.cast("int").alias("times"))
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, current = Admission(share), None
         for batch in batches:
             out: list[tuple] = []
-            for shard, seq, op, key, cost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, seq, op, key, cost, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != current:
                     state, current = Admission(share), shard
                 if op == "access":
                     if gets:
-                        out.append((shard, seq, key, "hit" if key in state.residents else "miss", 0))
-                    state.access(key)
+                        out.append((shard, seq, key, "hit" if key in state.residents else "miss", 0, n))
+                    state.access(key, n)
                 elif op == "remove":
                     if key in state.residents:
-                        out.append((shard, seq, key, "remove", state.residents[key]))
+                        out.append((shard, seq, key, "remove", state.residents[key], 1))
                     state.remove(key)
                 elif op == "update":
                     if state.update(key, cost):
-                        out.append((shard, seq, key, "update", cost))
+                        out.append((shard, seq, key, "update", cost, 1))
                 else:
                     resident = key in state.residents
                     gone, added = state.add(key, cost)
-                    out += [(shard, seq, v, "evict", lost) for v, lost in gone]
-                    out.append((shard, seq, key, "admit" if added else "update" if resident and cost <= share else "reject", cost))
+                    out += [(shard, seq, v, "evict", lost, 1) for v, lost in gone]
+                    out.append((shard, seq, key, "admit" if added else "update" if resident and cost <= share else "reject", cost, 1))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "seq", "key", "event", "cost"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "seq", "key", "event", "cost", "times"])
 
-    return rows.mapInArrow(run, "shard long, seq long, key long, event string, cost long")
+    found = rows.mapInArrow(run, "shard long, seq long, key long, event string, cost long, times int")
+    if gets and "times" in ops.columns:
+        found = found.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    return found.select("shard", "seq", "key", "event", "cost")

@@ -339,6 +339,36 @@ def test_replay_matches_a_plain_one(spark):
         assert state.used == sum(state.residents.values())  # an update may go beyond the limit
 
 
+def test_replay_of_counted_accesses(spark):
+    """A row that stands for many accesses does as these do, over halvings too, and is one row of the shuffle."""
+    from cairn.plans import catalog
+
+    rng = random.Random(5)
+    ops = [(2 * i, "access", min(int(rng.expovariate(0.03)), 90), 0, rng.choice([1, 2, 7, 40, 26_000 if i % 40 == 7 else 3])) for i in range(300)]
+    ops += [(2 * i + 1, "add", min(int(rng.expovariate(0.03)), 90), rng.randint(1, 130), 1) for i in range(300)]
+    df = spark.createDataFrame(ops, "seq long, op string, key long, cost long, times long")
+    each = [o[:4] for o in ops for _ in range(o[4])]
+    for shards in (1, 3):
+        found = policy.replay(df, 300, shards, gets=True).groupBy("shard", "seq", "key", "event", "cost").count().collect()
+        want = {}
+        for s in range(shards):
+            for q, k, e, c in plain_replay([o for o in each if o[2] % shards == s], 300 // shards):
+                want[s, q, k, e, c] = want.get((s, q, k, e, c), 0) + 1
+        assert {tuple(r)[:5]: r["count"] for r in found} == want and any(e == "evict" for _, _, _, e, _ in want)
+        quiet = policy.replay(df, 300, shards).count()
+        assert quiet == sum(n for (_, _, _, e, _), n in want.items() if e not in ("hit", "miss"))
+    one, many = policy.Admission(300, 50), policy.Admission(300, 50)
+    for _, op, key, cost, times in ops:
+        for state, calls in ((one, [1] * times), (many, [times])):
+            for n in calls if op == "access" else ():
+                state.access(key, n)
+            if op == "add":
+                state.add(key, cost)
+        assert (one.counts, one.doorkeeper, one.accesses, one.residents) == (many.counts, many.doorkeeper, many.accesses, many.residents)
+    stream = catalog.operations(spark, "/root/testdata/sf0.001")
+    assert stream.count() == 2 * stream.select("key").distinct().count()
+
+
 def test_checked_map_matches_a_plain_one(spark):
     rng = random.Random(4)
     ops = [(rng.randrange(12), rng.choice([0, 1, 2, 2, 2]) if i > 100 else rng.choice([1, 2]), i, f"v{i}") for i in range(300)]
