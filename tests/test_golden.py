@@ -369,6 +369,15 @@ def test_replay_of_counted_accesses(spark):
     assert stream.count() == 2 * stream.select("key").distinct().count()
 
 
+def test_metrics_of_counted_accesses(spark):
+    """Counted accesses have the metrics of single ones, full batches of a shard included."""
+    ops = [(1, "access", 1, 0, 100), (2, "add", 1, 5, 1), (3, "access", 1, 0, 70), (4, "access", 2, 0, 29), (5, "add", 2, 300, 1)]
+    df = spark.createDataFrame(ops, "seq long, op string, key long, cost long, times long")
+    each = spark.createDataFrame([o[:4] for o in ops for _ in range(o[4])], "seq long, op string, key long, cost long")
+    found, want = ({r["metric"]: r["value"] for r in metrics.of_replay(policy.replay(x, 200, 2, gets=True)).collect()} for x in (df, each))
+    assert found == want and (found["hit"], found["miss"], found["gets-kept"], found["keys-added"], found["sets-rejected"]) == (70, 129, 128, 1, 1)
+
+
 def test_checked_map_matches_a_plain_one(spark):
     rng = random.Random(4)
     ops = [(rng.randrange(12), rng.choice([0, 1, 2, 2, 2]) if i > 100 else rng.choice([1, 2]), i, f"v{i}") for i in range(300)]
